@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +20,37 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 64 << 20
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
-
-    Only where the session names none (tests, one machine) a temporary folder is set.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a temporary one only where it names none (tests, one machine)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small table with a reliable checkpoint."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a large table: compressed columns in the shared folder, dropped when the program ends."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/strandloom-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,14 +68,15 @@ def blanked(text):
 def word_array(text):
     """The words of a text as an array; empty for null and blank texts."""
     clean = blanked(text)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " +"))
+    parts = F.split(clean, " ")
+    return F.when(clean == "", F.array().cast("array<string>")).when(F.contains(clean, F.lit("  ")), F.filter(parts, lambda x: x != "")).otherwise(parts)
 
 
 def word_count(text):
     """Number of words, without building them."""
     clean = blanked(text)
-    tight = F.regexp_replace(clean, " +", " ")
-    return F.when(clean == "", F.lit(0)).otherwise(F.length(tight) - F.length(F.translate(tight, " ", "")) + 1).cast("long")
+    tight = F.when(F.contains(clean, F.lit("  ")), F.regexp_replace(clean, " +", " ")).otherwise(clean)
+    return F.when(clean == "", F.lit(0)).otherwise(F.length(tight) - F.length(F.replace(tight, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 # --- a membership filter of bounded size ---------------------------------------------------------------------------
