@@ -62,7 +62,10 @@ def lowered(text):
 
 def blanked(text):
     """Every separator as one space, none at the ends."""
-    return F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "))
+    out = F.coalesce(text, F.lit(""))
+    for separator in "\t\n\x0b\f\r":
+        out = F.replace(out, F.lit(separator), F.lit(" "))
+    return F.trim(out)
 
 
 def word_array(text):
@@ -72,11 +75,13 @@ def word_array(text):
     return F.when(clean == "", F.array().cast("array<string>")).when(F.contains(clean, F.lit("  ")), F.filter(parts, lambda x: x != "")).otherwise(parts)
 
 
-def word_count(text):
-    """Number of words, without building them."""
-    clean = blanked(text)
+def with_word_count(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Adds the number of words of a text, counted by its separators without building the words."""
+    clean = F.col("_clean")
     tight = F.when(F.contains(clean, F.lit("  ")), F.regexp_replace(clean, " +", " ")).otherwise(clean)
-    return F.when(clean == "", F.lit(0)).otherwise(F.length(tight) - F.length(F.replace(tight, F.lit(" "), F.lit(""))) + 1).cast("long")
+    spaces = F.octet_length("_tight") - F.octet_length(F.replace("_tight", F.lit(" "), F.lit("")))
+    counted = df.withColumn("_clean", blanked(F.col(text_col))).withColumn("_tight", tight)
+    return counted.withColumn(out, F.when(F.col("_tight") == "", F.lit(0)).otherwise(spaces + 1).cast("long")).drop("_clean", "_tight")
 
 
 # --- a membership filter of bounded size ---------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import settle, word_count
+from ._spark import settle, with_word_count
 
 Schedule = tuple[tuple[float, float], ...]
 
@@ -85,7 +85,7 @@ def allocate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     n = docs.count()
     digits = max(1, math.ceil(math.log(max(n, 1) / 2000 + 1, 16)))
     mark = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    named = docs.withColumn("mix_size", word_count(F.col(text_col))).withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
+    named = with_word_count(docs, text_col, "mix_size").withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
     named = named.withColumn("mix_mark", mark).withColumn("part", F.substring("mix_mark", 1, digits))
     sums = named.groupBy("src", "part").agg(F.first(F.col(source_col).cast("string")).alias("source"), F.sum("mix_size").alias("size"))
     sums = settle(sums)
