@@ -8,11 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import table
+from .chat import format_chats, read_back
 from .curriculum import allocate, with_first_position
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_classes
 from .line_dedup import dedup_lines
+from .quality import quality_scores
+from .secrets import find_secrets
 from .suffix_dedup import drop_repeats
+from .suffix_tree_lm import tree_scores
+
+
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_scores(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select -7L conv_id, 0L turn, 'user' role, '{said}' text union all select -7L, 1L, 'assistant', '{said}'")
+    back = read_back(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.filter("findings", lambda x: x["kind"] == kind)
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    base = joined(F.filter("findings", lambda x: x["kind"] != "entropy"))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined("findings").alias("spans"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +74,10 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_discriminant": op2_quality_discriminant,
+    "op3_suffix_tree_lm": op3_suffix_tree_lm,
+    "op4_chat_format": op4_chat_format,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
@@ -52,6 +90,18 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op4_chat_format"] = r"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+           union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     e as (select *, len(regexp_replace(role || chr(0), '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g'))
+                   + len(regexp_replace(text || chr(0), '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) - 2 n from c)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+       coalesce(sum(len(text)) filter (where role = 'assistant'), 0)::bigint loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,
+       (3 + sum(n + 6 + 7 + 4))::bigint formatted_chars
+from e group by conv_id
+"""
+
 ORACLES["op6_decontaminate"] = rf"""
 with d as (select doc_id, {_WORDS.format(_LOWER)} ws from documents),
      i as (select item_id, {_WORDS.format(_LOWER)} ws from benchmark),
