@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import table
+from .ann_graph import nearest_neighbours
 from .chat import format_chats, read_back
 from .curriculum import allocate, with_first_position
 from .decontaminate import contaminated
@@ -19,6 +20,10 @@ from .suffix_dedup import drop_repeats
 from .suffix_tree_lm import tree_scores
 
 
+def op1_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,6 +79,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann_graph": op1_ann_graph,
     "op2_quality_discriminant": op2_quality_discriminant,
     "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op4_chat_format": op4_chat_format,
