@@ -2,9 +2,392 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").count()
+from . import proxies as px
+from .functions import cigar, sequence
+from .operators import alignments as al
+from .operators import barcodes as bc
+from .operators import cells, intervals, liftover, quant, umi
+from .operators import junctions as sj
+from .options import BarcodeMatch, ExpectationMaximisation, JunctionFilter, KneeFilter
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- molecules ------------------------------------------------------------------------------------------------------
+
+_SOLO = "solo as (select l_suppkey cb, l_partkey % 20 gene, l_orderkey % 1024 umi from lineitem)"
+_MOLS = f"{_SOLO}, mols as (select cb, gene, umi, count(*) n from solo group by all)"
+_NEAR = "bit_count((xor(a.umi, b.umi) | (xor(a.umi, b.umi) >> 1)) & 341) = 1"
+_CR = f"""{_MOLS}, pairs as (select a.cb, a.gene, a.umi, b.umi to_, row_number() over (partition by a.cb, a.gene, a.umi order by b.n desc, b.umi desc) r
+  from mols a join mols b on a.cb = b.cb and a.gene = b.gene and {_NEAR} and (b.n > a.n or (b.n = a.n and b.umi > a.umi))),
+  cr as (select m.*, coalesce(p.to_, m.umi) corrected from mols m left join (from pairs where r = 1) p using (cb, gene, umi))"""
+
+
+@query(f"with {_MOLS} select cb, gene, sum(n)::bigint n_reads, count(*) n_umis from mols group by all")
+def umi_exact(spark, sf_dir):
+    return umi.count_exact(umi.molecules(px.solo(spark, sf_dir)))
+
+
+@query(f"with {_CR} select cb, gene, umi, n, corrected from cr")
+def umi_correct_cr(spark, sf_dir):
+    return umi.correct_cr(umi.molecules(px.solo(spark, sf_dir)), 5).select("cb", "gene", "umi", "n", "corrected")
+
+
+@query(f"""with recursive {_MOLS}, e as (select a.cb, a.gene, a.umi x, b.umi y from mols a join mols b on a.cb = b.cb and a.gene = b.gene and {_NEAR}),
+  r(cb, gene, x, low) as (select cb, gene, umi, umi from mols union select r.cb, r.gene, e.y, r.low from r join e on e.cb = r.cb and e.gene = r.gene and e.x = r.x where r.low < e.y),
+  c as (select cb, gene, x, min(low) low from r group by all)
+  select cb, gene, count(distinct low) n_umis from c group by all""")
+def umi_components(spark, sf_dir):
+    return umi.count_corrected(umi.correct_all(umi.molecules(px.solo(spark, sf_dir)), 5))
+
+
+@query()
+def umi_directional(spark, sf_dir):
+    return umi.count_corrected(umi.correct_directional(umi.molecules(px.solo(spark, sf_dir)), 5))
+
+
+@query(f"""with {_MOLS}, w as (select *, count(*) over (partition by cb, umi) g, max(n) over (partition by cb, umi) top from mols)
+  select cb, gene, umi, n from w where g = 1 or (n = top and top > 1)""")
+def umi_keep_top_gene(spark, sf_dir):
+    return umi.keep_top_gene(umi.molecules(px.solo(spark, sf_dir))).select("cb", "gene", "umi", "n")
+
+
+@query(f"with {_MOLS}, w as (select *, count(*) over (partition by cb, umi) g from mols) select cb, gene, umi, n from w where g = 1")
+def umi_drop_multi_gene(spark, sf_dir):
+    return umi.drop_multi_gene(umi.molecules(px.solo(spark, sf_dir))).select("cb", "gene", "umi", "n")
+
+
+@query(f"""with {_CR}, after_ as (select cb, gene, corrected umi, sum(n) n from cr group by all),
+  t as (select *, rank() over (partition by cb, umi order by n desc) r from after_),
+  u as (select *, count(*) over (partition by cb, umi) ties from t where r = 1),
+  b as (select cb, umi, max(n) most from mols group by all)
+  select u.cb, u.gene, count(*) n_umis from u left join b using (cb, umi) left join mols o on o.cb = u.cb and o.umi = u.umi and o.gene = u.gene
+  where u.ties = 1 and coalesce(o.n, 0) >= coalesce(b.most, 0) group by all""")
+def umi_multi_gene_cr(spark, sf_dir):
+    return umi.count_cr_multi_gene(umi.correct_cr(umi.molecules(px.solo(spark, sf_dir)), 5))
+
+
+def _multi(spark, sf_dir):
+    """(umi genes of multi-gene reads, unique counts): reads of orders with several parts of one supplier class."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = li.select((F.col("l_orderkey") % 50).alias("cb"), (F.col("l_orderkey") % 4096).alias("umi"), F.col("l_orderkey").alias("read"), (F.col("l_partkey") % 30).alias("gene")).distinct()
+    several = rows.where("read % 2 = 0")
+    unique = rows.where("read % 2 = 1").groupBy("cb", "gene").agg(F.countDistinct("umi").alias("n_umis"))
+    return umi.multi_gene_umis(several, rows.where("read % 2 = 1")), unique
+
+
+_MULTI = """rows_ as (select distinct l_orderkey % 50 cb, l_orderkey % 4096 umi, l_orderkey read, l_partkey % 30 gene from lineitem),
+  un as (select * from rows_ where read % 2 = 1), uq as (select cb, gene, count(distinct umi) n_umis from un group by all),
+  mu as (select * from rows_ m where read % 2 = 0 and not exists (select 1 from un where un.cb = m.cb and un.umi = m.umi)),
+  ug as (select cb, umi, gene from (select cb, umi, gene, count(distinct read) k from mu group by all) join (select cb, umi, count(distinct read) n from mu group by all) using (cb, umi) where k = n),
+  uni as (select cb, gene, sum(share) value from (select *, 1.0::double / count(*) over (partition by cb, umi) share from ug) group by all)"""
+
+
+@query(f"with {_MULTI} select cb, gene, round(value, 6) as value from uni")
+def multi_gene_uniform(spark, sf_dir):
+    return umi.uniform(_multi(spark, sf_dir)[0]).withColumn("value", F.round("value", 6))
+
+
+@query(f"""with {_MULTI}, j as (select ug.*, coalesce(n_umis, 0)::double w, sum(coalesce(n_umis, 0)::double) over (partition by cb, umi) s, count(*) over (partition by cb, umi) k from ug left join uq using (cb, gene))
+  select cb, gene, round(sum(case when s > 0 then w / s else 1.0::double / k end), 6) as value from j group by all""")
+def multi_gene_prop_unique(spark, sf_dir):
+    return umi.prop_unique(*_multi(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""with {_MULTI}, b as (select cb, gene, value + coalesce(n_umis, 0) w from uni left join uq using (cb, gene)),
+  j as (select ug.*, w, sum(w) over (partition by cb, umi) s from ug join b using (cb, gene)) select cb, gene, round(sum(w / s), 6) as value from j group by all""")
+def multi_gene_rescue(spark, sf_dir):
+    return umi.rescue(*_multi(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query()
+def multi_gene_em(spark, sf_dir):
+    return umi.expectation_maximisation(*_multi(spark, sf_dir), ExpectationMaximisation()).withColumn("value", F.round("value", 6))
+
+
+@query(f"with {_MULTI} select cb, gene, round(coalesce(n_umis, 0) + coalesce(value, 0), 6) as value from uq full join uni using (cb, gene)")
+def matrix_merge(spark, sf_dir):
+    several, unique = _multi(spark, sf_dir)
+    return umi.merge_matrices(unique, umi.uniform(several)).withColumn("value", F.round("value", 6))
+
+
+# --- cells ----------------------------------------------------------------------------------------------------------
+
+_CELLS = f"{_MOLS}, cnt as (select cb, gene, count(*) n_umis from mols group by all), cells as (select cb, sum(n_umis)::bigint n, count(*) n_genes from cnt group by cb)"
+
+
+@query(f"with {_CELLS}, t as (select *, row_number() over (order by n desc) r, count(*) over () c from cells), m as (select max(n) x from t where r = least(c, 21)) select cb, n, n_genes from cells, m where n >= greatest(x, 1)")
+def cells_top(spark, sf_dir):
+    return cells.top_cells(cells.totals(umi.count_exact(umi.molecules(px.solo(spark, sf_dir)))), 20)
+
+
+@query(f"with {_CELLS}, t as (select *, row_number() over (order by n desc) r, count(*) over () c from cells), m as (select max(n) x from t where r = least(c, 11)) select cb, n, n_genes from cells, m where n >= greatest(round(x / 1.02), 1)")
+def cells_knee(spark, sf_dir):
+    return cells.knee(cells.totals(umi.count_exact(umi.molecules(px.solo(spark, sf_dir)))), KneeFilter(1000, 0.99, 1.02))
+
+
+@query(f"""with {_CELLS}, a as (select *, row_number() over (order by n desc) r, row_number() over (order by n_genes) q from cells), k as (select count(*) c from cells)
+  select (select c from k) n_cells, (select sum(n)::bigint from cells) umis, (select sum(n)::bigint // c from cells, k group by c) mean_umis, (select n from a, k where r = c // 2 + 1) median_umis,
+         (select sum(n_genes)::bigint // c from cells, k group by c) mean_genes, (select n_genes from a, k where q = c // 2 + 1) median_genes""")
+def cells_summary(spark, sf_dir):
+    return cells.summary(cells.totals(umi.count_exact(umi.molecules(px.solo(spark, sf_dir)))))
+
+
+@query(f"with {_MOLS} select round(1 - count(*) / sum(n), 9) saturation from mols")
+def sequencing_saturation(spark, sf_dir):
+    return cells.saturation(umi.count_exact(umi.molecules(px.solo(spark, sf_dir)))).withColumn("saturation", F.round("saturation", 9))
+
+
+@query("""with t as (select s_suppkey id, ((s_suppkey * 7919) % 1009 + s_suppkey / 100000.0::double) / 2000 p from supplier), r as (select *, row_number() over (order by p) k, count(*) over () m from t)
+  select id, round(least(min(p * m / k) over (order by k desc rows between unbounded preceding and current row), 1.0), 9) p_adjusted from r""")
+def benjamini_hochberg(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (((F.col("s_suppkey") * 7919) % 1009 + F.col("s_suppkey") / 100000.0) / 2000).alias("p"))
+    return cells.benjamini_hochberg(s).select("id", F.round("p_adjusted", 9).alias("p_adjusted"))
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecules with UMI correction, counted per cell and gene, of the cells at the top."""
+    counts = umi.count_corrected(umi.correct_cr(umi.molecules(px.solo(spark, sf_dir)), 5))
+    return counts.join(cells.top_cells(cells.totals(counts), 20).select("cb"), "cb", "left_semi")
+
+
+@query(f"""with {_CR}, c as (select cb, gene, count(distinct corrected) n_umis from cr group by all), k as (select cb, sum(n_umis) n from c group by cb),
+  t as (select n, row_number() over (order by n desc) r, count(*) over () m from k), x as (select max(n) x from t where r = least(m, 21))
+  select cb, gene, n_umis from c where cb in (select cb from k, x where n >= greatest(x, 1))""")
+def flagship(spark, sf_dir):
+    return FLAGSHIP(spark, sf_dir)
+
+
+# --- barcodes -------------------------------------------------------------------------------------------------------
+
+_BC = """wl as (select distinct (s_suppkey * 37) % 65536 code from supplier),
+  rd as (select read_id, code, max(quality) quality from (select l_orderkey * 10000000 + l_partkey * 10 + l_linenumber read_id,
+         case when l_orderkey % 3 = 0 then xor((l_suppkey * 37) % 65536, 1::bigint << (2 * (l_orderkey % 8))::int) else (l_suppkey * 37) % 65536 end code, 35 + l_quantity::int % 30 quality from lineitem) group by all),
+  ex as (select wl.code, count(rd.code) n_exact from wl left join rd using (code) group by all),
+  ca as (select rd.read_id, wl.code match, case when rd.code = wl.code then 0 else 1 end kind, quality from rd join wl on rd.code = wl.code
+         union all select rd.read_id, wl.code, 1, quality from (select * from rd where code not in (select code from wl)) rd join wl on bit_count((xor(rd.code, wl.code) | (xor(rd.code, wl.code) >> 1)) & 21845) = 1)"""
+
+
+@query(f"with {_BC} select code, n_exact from ex")
+def barcode_exact_counts(spark, sf_dir):
+    known, reads = px.barcodes(spark, sf_dir)
+    return bc.exact_counts(reads, known)
+
+
+@query(f"with {_BC} select read_id, match, kind from ca")
+def barcode_one_mismatch(spark, sf_dir):
+    known, reads = px.barcodes(spark, sf_dir)
+    return bc.one_mismatch(reads, known, 8).select("read_id", "match", "kind")
+
+
+@query(f"""with {_BC}, w as (select read_id, match, case when kind = 0 then 1.0::double else n_exact * pow(10.0::double, -least(quality - 33, 33)::double / 10) end w from ca join ex on ex.code = ca.match where kind = 0 or n_exact > 0),
+  r as (select *, w / sum(w) over (partition by read_id) posterior, row_number() over (partition by read_id order by w desc, match) k from w)
+  select read_id, match, round(posterior, 6) posterior from r where k = 1 and posterior >= 0.975""")
+def barcode_posterior(spark, sf_dir):
+    known, reads = px.barcodes(spark, sf_dir)
+    found = bc.best_match(bc.one_mismatch(reads, known, 8, quality="quality"), bc.exact_counts(reads, known), BarcodeMatch())
+    return found.withColumn("posterior", F.round("posterior", 6))
+
+
+# --- junctions ------------------------------------------------------------------------------------------------------
+
+_SJ = """ob as (select l_orderkey read_id, l_returnflag || l_linestatus chr, l_partkey * 7 start_, l_partkey * 7 + 21 + l_suppkey * 11 end_, (l_linenumber % 2 = 0)::int u, l_quantity::int o from lineitem),
+  pr as (select read_id, chr, start_, end_, max(u) u, max(1 - u) m, max(o) o from ob group by all),
+  co as (select chr, start_, end_, (1 + end_ % 7 % 2)::int strand, (end_ % 7)::int motif, (end_ % 11 = 0)::int annot, sum(u)::bigint n_uniq, sum(m)::bigint n_multi, max(o) over_left, max(o) over_right from pr group by chr, start_, end_),
+  fl as (select * from co where annot > 0 or ((n_uniq >= [3,1,1,1][(motif + 1) // 2 + 1] or n_uniq + n_multi >= [3,1,1,1][(motif + 1) // 2 + 1]) and over_left >= [30,12,12,12][(motif + 1) // 2 + 1]
+         and (n_uniq + n_multi > 3 or end_ - start_ <= [50000, 100000, 200000][n_uniq + n_multi]))),
+  ds as (select *, [10,0,5,10][(motif + 1) // 2 + 1] d, least(coalesce(start_ - lag(start_) over a, 1e18), coalesce(lead(start_) over a - start_, 1e18)) x, least(coalesce(end_ - lag(end_) over b, 1e18), coalesce(lead(end_) over b - end_, 1e18)) y
+         from fl window a as (partition by chr order by start_, end_), b as (partition by chr order by end_, start_)),
+  tb as (select chr, start_, end_, strand, motif, annot, n_uniq, n_multi, over_left, over_right from ds where annot > 0 or (x >= d and y >= d))"""
+_SJ_OUT = "chr, start_ as start, end_ as \"end\", strand, motif, annot, n_uniq, n_multi, over_left, over_right"
+
+
+@query(f"with {_SJ} select {_SJ_OUT} from co")
+def junction_collapse(spark, sf_dir):
+    return sj.collapse(sj.per_read(px.junctions(spark, sf_dir)))
+
+
+@query(f"with {_SJ} select {_SJ_OUT} from fl")
+def junction_count_filter(spark, sf_dir):
+    return sj.count_filter(sj.collapse(sj.per_read(px.junctions(spark, sf_dir))), JunctionFilter())
+
+
+@query(f"with {_SJ} select {_SJ_OUT} from tb")
+def junction_table(spark, sf_dir):
+    return sj.junction_table(px.junctions(spark, sf_dir))
+
+
+@query(f"with {_SJ} select start_ as start, end_ as \"end\", strand, motif, annot, sum(n_uniq)::bigint n_uniq, sum(n_multi)::bigint n_multi, max(over_left) overhang, count(*) n_samples from tb group by all")
+def junction_samples(spark, sf_dir):
+    table = sj.junction_table(px.junctions(spark, sf_dir)).withColumn("overhang", F.col("over_left")).withColumn("sample", F.col("chr")).withColumn("chr", F.lit("c"))
+    return sj.collapse_samples(table).drop("chr")
+
+
+@query(f"with {_SJ} select read_id, chr, start_ as start, end_ as \"end\" from (select distinct read_id, chr, start_, end_ from ob) where (chr, start_, end_) in (select (chr, start_, end_) from tb)")
+def junction_reads_kept(spark, sf_dir):
+    observed = px.junctions(spark, sf_dir)
+    return sj.novel_in(sj.per_read(observed), sj.junction_table(observed)).select("read_id", "chr", "start", "end")
+
+
+# --- intervals ------------------------------------------------------------------------------------------------------
+
+_BL = """bl as (select l_orderkey read_id, l_returnflag chr, date_diff('day', date '1995-01-01', l_shipdate::date) * 100 + l_orderkey % 100 s, date_diff('day', date '1995-01-01', l_shipdate::date) * 100 + l_orderkey % 100 + l_quantity::bigint e, 1 + l_orderkey % 2 str, 1 + (l_orderkey // 2) % 4 nh from lineitem),
+  ge as (select p_partkey // 2 gene, ['A', 'N', 'R'][(p_partkey % 3)::int + 1] chr, (p_partkey * 113) % 250000 s, (p_partkey * 113) % 250000 + 50 + p_size * 20 e, p_partkey % 3 str from part)"""
+
+
+@query(f"""with {_BL}, hit as (select distinct read_id, unnest([case when true then 'unstranded' end, case when ge.str = 0 or ge.str = bl.str then 'same' end, case when ge.str = 0 or ge.str <> bl.str then 'reverse' end]) mode, gene from bl join ge on bl.chr = ge.chr and bl.s < ge.e and ge.s < bl.e where nh = 1),
+  per as (select read_id, mode, count(*) k, min(gene) gene from hit where mode is not null group by all), rd as (select read_id, max(nh) nh from bl group by all), md as (select unnest(['unstranded', 'same', 'reverse']) mode),
+  lb as (select case when nh > 1 then 'N_multimapping' when k is null then 'N_noFeature' when k > 1 then 'N_ambiguous' else gene::varchar end gene, md.mode from rd cross join md left join per on per.read_id = rd.read_id and per.mode = md.mode)
+  select gene, count(*) filter (where mode = 'unstranded') unstranded, count(*) filter (where mode = 'same') same, count(*) filter (where mode = 'reverse') "reverse" from lb group by gene""")
+def gene_counts(spark, sf_dir):
+    return quant.gene_counts(px.blocks(spark, sf_dir), px.genes(spark, sf_dir))
+
+
+@query(f"with {_BL} select read_id, count(distinct gene) n_genes, min(gene) first_gene from bl join ge on bl.chr = ge.chr and bl.s < ge.e and ge.s < bl.e group by read_id")
+def gene_full_overlap(spark, sf_dir):
+    return quant.whole_gene_sets(px.blocks(spark, sf_dir), px.genes(spark, sf_dir)).select("read_id", F.size("genes").cast("long").alias("n_genes"), F.col("genes")[0].alias("first_gene"))
+
+
+@query(f"with {_BL} select distinct read_id, gene from bl join ge on bl.chr = ge.chr and ge.s <= bl.s and bl.e <= ge.e where read_id not in (select read_id from bl join ge on bl.chr = ge.chr and bl.s < ge.e and ge.s < bl.e where gene % 2 = 0)")
+def gene_within_fallback(spark, sf_dir):
+    blocks, genes = px.blocks(spark, sf_dir), px.genes(spark, sf_dir)
+    return quant.within_gene(blocks, genes, quant.whole_gene_sets(blocks, genes.where("gene % 2 = 0")))
+
+
+@query(f"with {_BL} select read_id, gene, sum(least(bl.e, ge.e) - greatest(bl.s, ge.s))::bigint exonic from bl join ge on bl.chr = ge.chr and bl.s < ge.e and ge.s < bl.e group by all")
+def exonic_bases(spark, sf_dir):
+    return quant.exonic_bases(px.blocks(spark, sf_dir), px.genes(spark, sf_dir))
+
+
+@query(f"""with {_BL}, ed as (select chr, pos, sum(d) d from (select chr, s pos, 1.0::double / nh d from bl union all select chr, e, -1.0::double / nh from bl) group by all having abs(sum(d)) > 1e-9),
+  r as (select chr, pos, sum(d) over (partition by chr order by pos) v, lead(pos) over (partition by chr order by pos) e from ed)
+  select chr, pos as start, e as "end", round(v, 6) as value from r where e is not null and abs(v) > 1e-9""")
+def coverage_signal(spark, sf_dir):
+    weighted = px.blocks(spark, sf_dir).withColumn("weight", F.lit(1.0) / F.col("nh"))
+    return intervals.coverage(weighted, ["chr"], tile=1 << 14).withColumn("value", F.round("value", 6))
+
+
+@query(f"""with {_BL}, m as (select chr, s, e, max(e) over (partition by chr order by s, e rows between unbounded preceding and 1 preceding) r from ge), n as (select *, sum(case when r is null or s > r then 1 else 0 end) over (partition by chr order by s, e rows unbounded preceding) i from m)
+  select chr, min(s) as start, max(e) as "end", count(*) n from n group by chr, i""")
+def interval_union(spark, sf_dir):
+    return intervals.islands(px.genes(spark, sf_dir), ["chr"])
+
+
+@query(f"with {_BL} select chr, gene, s as start, e as \"end\", max(e) over (partition by chr order by s, e rows unbounded preceding) end_max from ge")
+def running_end(spark, sf_dir):
+    return intervals.running_end(px.genes(spark, sf_dir), ["chr"]).select("chr", "gene", "start", "end", "end_max")
+
+
+@query(f"with {_BL} select gene, min(s) as start, max(e) as \"end\" from ge group by gene")
+def gene_extents(spark, sf_dir):
+    return intervals.extents(px.genes(spark, sf_dir), ["gene"])
+
+
+@query(f"""with {_BL} select gene, chr, s as start, s - min(s) over (partition by gene) rel_start, e - min(s) over (partition by gene) rel_end, coalesce(sum(e - s) over (partition by gene order by s, e rows between unbounded preceding and 1 preceding), 0)::bigint len_before from ge""")
+def transcript_relative_exons(spark, sf_dir):
+    return intervals.relative_exons(px.genes(spark, sf_dir), "gene").select("gene", "chr", "start", "rel_start", "rel_end", "len_before")
+
+
+_LIFT = """f as (select event_id id, event_type chr, (epoch_us(ts) // 1000000) % 100000 s, (epoch_us(ts) // 1000000) % 100000 + event_id % 150 e from events),
+  g as (select *, least(s // 100, 999) i, least(e // 100, 999) j from f),
+  h as (select *, case when i = 0 then 97 when s < i * 100 + 60 then i * 90 + 7 + s - i * 100 when i < 999 then (i + 1) * 90 + 7 end a, case when j > 0 then case when e < j * 100 + 60 then j * 90 + 7 + e - j * 100 else j * 90 + 66 end end b from g)"""
+
+
+@query(f"with {_LIFT} select id, chr, s as start, e as \"end\", case when coalesce(b >= a, false) then 'new_' || chr end new_chr, case when coalesce(b >= a, false) then a end new_start, case when coalesce(b >= a, false) then b end new_end, coalesce(b >= a, false) lifted from h")
+def liftover_features(spark, sf_dir):
+    return liftover.lift(*px.chains(spark, sf_dir))
+
+
+# --- alignments -----------------------------------------------------------------------------------------------------
+
+_AL = "al as (select l_orderkey read_id, l_linenumber * 100000 + l_partkey align_idx, floor(l_extendedprice / 1000)::int score, l_quantity::bigint span from lineitem)"
+
+
+@query(f"with {_AL}, m as (select *, max(score) over (partition by read_id) best from al) select *, count(*) over (partition by read_id) n_tr from m where score + 1 >= best")
+def multimap_select(spark, sf_dir):
+    return al.select_multi(px.alignments(spark, sf_dir))
+
+
+@query(f"with {_AL}, r as (select *, row_number() over (partition by read_id order by score desc, span, align_idx) hit from al) select read_id, align_idx, score, hit, hit = 1 \"primary\" from r where hit <= 3")
+def primary_alignment(spark, sf_dir):
+    return al.cap_hits(al.mark_primary(px.alignments(spark, sf_dir)), 3).select("read_id", "align_idx", "score", F.col("hit").cast("long").alias("hit"), "primary")
+
+
+def _best(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.select(F.col("l_orderkey").alias("read_id"), F.lit(101).alias("l_read"), F.when(F.col("l_partkey") % 17 != 0, (F.col("l_quantity") * 2).cast("int")).alias("score"), (F.col("l_quantity") * 2).cast("int").alias("n_match"), (F.col("l_suppkey") % 14).cast("int").alias("n_mm"), F.lit(100).alias("r_length"), (F.col("l_partkey") % 13).cast("int").alias("n_tr"))
+
+
+_BEST = """b as (select case when l_partkey % 17 <> 0 then (l_quantity * 2)::int end score, (l_quantity * 2)::int n_match, l_suppkey % 14 n_mm, l_partkey % 13 n_tr from lineitem),
+  f as (select *, case when score is null then 0 when score < 66 or n_match < 66 then 1 when n_mm > 10 or n_mm / 100 > 0.3 then 2 when n_tr > 10 then 3 else -1 end u from b)"""
+
+
+@query(f"with {_BEST} select count(*) n_reads, count(*) filter (where u = -1 and n_tr = 1) n_unique, count(*) filter (where u = -1 and n_tr > 1) n_multi, count(*) filter (where u = 3) n_too_many, count(*) filter (where u = 2) n_mismatch, count(*) filter (where u = 1) n_short, count(*) filter (where u = 0) n_other from f")
+def mapping_statistics(spark, sf_dir):
+    return al.statistics(al.mapped_filter(_best(spark, sf_dir)))
+
+
+def _pairs(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    clip = (F.col("l_linenumber") % 4).cast("int")
+    lead = F.when(clip > 0, F.concat(clip.cast("string"), F.lit("S"))).otherwise("")
+    return li.groupBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").agg(F.max("l_quantity").alias("q")).select(
+        (F.col("l_suppkey") % 5).alias("chr"), (F.col("l_partkey") % 50 + clip).alias("pos1"), F.concat(lead, (50 - clip).cast("string"), F.lit("M")).alias("cigar1"), F.lit(99).alias("flag1"), (F.col("l_partkey") % 50 + 200).alias("pos2"), F.lit("50M").alias("cigar2"), F.lit(147).alias("flag2"),
+        F.col("q").cast("int").alias("score"), (F.col("l_orderkey") * 10_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("name"), (1 + F.col("l_orderkey") % 5 % 2).alias("nh"),
+    )
+
+
+@query("""with p as (select l_suppkey % 5 chr, l_partkey % 50 x, max(l_quantity)::int score, l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber as name, 1 + l_orderkey % 5 % 2 nh from lineitem group by l_orderkey, l_partkey, l_suppkey, l_linenumber)
+  select name, nh > 1 or row_number() over (partition by chr, x, nh = 1 order by score desc, name) > 1 duplicate from p""")
+def duplicate_marks(spark, sf_dir):
+    return al.mark_duplicates(_pairs(spark, sf_dir)).select("name", "duplicate")
+
+
+# --- sequence expressions -------------------------------------------------------------------------------------------
+
+
+@query("""with s as (select p_partkey id, translate(lower(p_name || p_brand), 'abcdefghijklmnopqrstuvwxyz# 0123456789', 'ACGTACGTACGTACGTACGTACGTACGTACGTACGTACG') q from part),
+  t as (select id, regexp_replace(q, '[^ACGT]', 'N', 'g') q from s)
+  select id, q seq, reverse(translate(q, 'ACGT', 'TGCA')) revcomp, len(q)::bigint - len(replace(q, 'N', '')) n_unknown from t""")
+def sequence_reverse_complement(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    raw = F.translate(F.lower(F.concat("p_name", "p_brand")), "abcdefghijklmnopqrstuvwxyz# 0123456789", "ACGTACGTACGTACGTACGTACGTACGTACGTACGTACG")
+    seq = F.regexp_replace(raw, "[^ACGT]", "N")
+    return part.select(F.col("p_partkey").alias("id"), seq.alias("seq"), sequence.reverse_complement(seq).alias("revcomp"), (F.length(seq) - F.length(F.replace(seq, F.lit("N"), F.lit("")))).cast("long").alias("n_unknown"))
+
+
+@query("""with c as (select o_orderkey id, o_orderkey % 4096 a, (o_custkey * 31) % 4096 b from orders)
+  select id, a code, bit_count((xor(a, b) | (xor(a, b) >> 1)) & 1365)::int distance from c""")
+def sequence_distance(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4096).alias("a"), ((F.col("o_custkey") * 31) % 4096).alias("b"))
+    seq = sequence.decode(F.col("a"), 6)
+    return o.select("id", sequence.encode(seq).alias("code"), sequence.mismatches(F.col("a"), F.col("b")).alias("distance"))
+
+
+@query("""with c as (select l_orderkey * 10 + l_linenumber id, l_linenumber % 4 a, l_quantity::int b, l_suppkey % 3 * 40 g, (l_partkey % 3)::int d from lineitem),
+  t as (select id, a, b, g, d, (case when a > 0 then a || 'S' else '' end) || b || 'M' || (case when g > 0 then g || 'N10M' else '' end) || (case when d > 0 then d || 'I5M' else '' end) cigar from c)
+  select id, cigar, b + g + case when g > 0 then 10 else 0 end + case when d > 0 then 5 else 0 end ref_len, a + b + case when g > 0 then 10 else 0 end + (case when d > 0 then 5 + d else 0 end)::bigint read_len, (case when g > 0 then 2 else 1 end)::int n_blocks from t""")
+def cigar_lengths(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    a, g, d = F.col("l_linenumber") % 4, F.col("l_suppkey") % 3 * 40, F.col("l_partkey") % 3
+    text = F.concat(F.when(a > 0, F.concat(a.cast("string"), F.lit("S"))).otherwise(""), F.col("l_quantity").cast("int").cast("string"), F.lit("M"), F.when(g > 0, F.concat(g.cast("string"), F.lit("N10M"))).otherwise(""), F.when(d > 0, F.concat(d.cast("string"), F.lit("I5M"))).otherwise(""))
+    c = F.col("cigar")
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("cigar")).select("id", "cigar", cigar.reference_length(c).cast("long").alias("ref_len"), cigar.read_length(c).cast("long").alias("read_len"), F.size(cigar.blocks(F.lit(0), c)).alias("n_blocks"))
