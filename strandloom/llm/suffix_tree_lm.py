@@ -18,6 +18,8 @@ _U = np.uint64
 END = _U(0x7F4A7C159E3779B9)
 #: Words whose counts every task holds: the most common ones, at most this many. Counts of others are joined.
 HELD_WORDS = 1 << 21
+#: Least count of a held word; so that the part of a corpus that is joined is alike at every size.
+HELD_COUNT = 4
 _FLUSH = 1 << 21
 
 
@@ -246,7 +248,7 @@ def tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     driver, and shown to all tasks, has 1 / p_min rows at most. A word's probability is
     that of the longest retained context before it in the text; the base is the root,
     which also gives words never seen their share. The most common words' counts
-    are held by all tasks (HELD_WORDS at most); rarer words of a text are joined with
+    are held by all tasks (HELD_COUNT at least, HELD_WORDS at most); rarer words of a text are joined with
     their counts and summed.
 
     Null and empty texts have the end as their only token. Null ids are held out
@@ -275,7 +277,7 @@ def tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tree = grow(unigrams, levels, n, v, options)
 
     den = n + 0.1 * (v + 1)
-    common = _least_count(words, HELD_WORDS)
+    common = max(HELD_COUNT, _least_count(words, HELD_WORDS))
     held = _arrays(words.where(F.col("c") >= common), ("token", "c"))
     order = np.argsort(held["token"])
     logs = np.log10((held["c"][order] + 0.1) / den)
