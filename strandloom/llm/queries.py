@@ -142,6 +142,21 @@ select d.doc_id, coalesce(n.n, 0) n_shingles, m.c component_id
 from d left join n using (doc_id) join (select doc_id, min(c) c from r group by 1) m on m.doc_id = d.doc_id
 """
 
+ORACLES["op9_suffix_dedup"] = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+     w as (select doc_id, p, md5(substr(h, 2 * p + 1, 400)) k from (select doc_id, h, unnest(range(0, len(h) // 2 - 199)) p from d)),
+     g as (select doc_id, p from w where k in (select k from w group by k having count(*) > 1)),
+     i as (select doc_id, p, sum(case when p - q <= 200 then 0 else 1 end) over (partition by doc_id order by p) n
+           from (select doc_id, p, lag(p) over (partition by doc_id order by p) q from g)),
+     s as (select doc_id, min(p) a, max(p) + 200 b from i group by doc_id, n),
+     c as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) e from s),
+     t as (select doc_id, sum(b - a)::bigint n_removed, count(*) n_spans, max(b) z from s group by doc_id),
+     k as (select c.doc_id, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' order by a) h from c join d using (doc_id) group by c.doc_id)
+select d.doc_id, (len(d.h) // 2)::bigint n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans,
+       sha256(unhex(case when k.h is null then d.h else k.h || substr(d.h, 2 * z + 1) end)) kept_sha256
+from d left join t using (doc_id) left join k using (doc_id)
+"""
+
 _CLASSES = ((0.0, 1.5, 1.0, 0.5),), ((0.0, 1.0, 1.0, 1.0),), ((0.0, 0.25, 0.5, 1.0), (0.5, 1.0, 1.0, 1.75))
 
 

@@ -275,7 +275,7 @@ def test_pipeline_equals_its_stages(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
 
 
-@pytest.mark.parametrize("name", ["op4_chat_format", "op6_decontaminate", "op7_line_dedup", "op8_jaccard_join", "op10_curriculum_mix"])
+@pytest.mark.parametrize("name", ["op4_chat_format", "op6_decontaminate", "op7_line_dedup", "op8_jaccard_join", "op9_suffix_dedup", "op10_curriculum_mix"])
 def test_same_as_sql(spark, name):
     import duckdb
 
