@@ -11,7 +11,7 @@ from . import proxies as px
 from .functions import cigar, sequence
 from .operators import alignments as al
 from .operators import barcodes as bc
-from .operators import cells, intervals, liftover, quant, umi
+from .operators import cells, chimeras, intervals, liftover, quant, reports, seeds, umi, variants
 from .operators import junctions as sj
 from .options import BarcodeMatch, ExpectationMaximisation, JunctionFilter, KneeFilter
 
@@ -391,3 +391,119 @@ def cigar_lengths(spark, sf_dir):
     text = F.concat(F.when(a > 0, F.concat(a.cast("string"), F.lit("S"))).otherwise(""), F.col("l_quantity").cast("int").cast("string"), F.lit("M"), F.when(g > 0, F.concat(g.cast("string"), F.lit("N10M"))).otherwise(""), F.when(d > 0, F.concat(d.cast("string"), F.lit("I5M"))).otherwise(""))
     c = F.col("cigar")
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("cigar")).select("id", "cigar", cigar.reference_length(c).cast("long").alias("ref_len"), cigar.read_length(c).cast("long").alias("read_len"), F.size(cigar.blocks(F.lit(0), c)).alias("n_blocks"))
+
+
+# --- seeds, chimeras, reports ---------------------------------------------------------------------------------------
+
+
+@query("""with d as (select doc_id, text s from documents), k as (select item_id, text s from benchmark),
+  dk as (select doc_id, p r_pos, substr(s, p::bigint + 1, 24) w from (select doc_id, s, unnest(range(0, len(s) - 23)) p from d)),
+  ik as (select item_id, p q_pos, substr(s, p::bigint + 1, 24) w from (select item_id, s, unnest(range(0, len(s) - 23)) p from k)),
+  h as (select item_id, doc_id, q_pos, r_pos, r_pos - q_pos dg, q_pos - row_number() over (partition by item_id, doc_id, r_pos - q_pos order by q_pos) i from ik join dk using (w))
+  select item_id, doc_id, min(q_pos)::bigint q_start, min(r_pos)::bigint r_start, count(*) + 23 len from h group by item_id, doc_id, dg, i""")
+def seed_matches(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("seq"))
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("seq"))
+    return seeds.maximal_matches(b, d, 24, "item_id", "doc_id")
+
+
+def _segments(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    start = (F.col("l_partkey") % 70).cast("int")
+    return li.select(F.col("l_orderkey").alias("read_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("idx"), start.alias("r_start"), (start + F.col("l_quantity").cast("int")).alias("r_end"), F.col("l_quantity").cast("int").alias("score"), F.lit(80).alias("l_read")).distinct()
+
+
+@query("""with s as (select distinct l_orderkey read_id, l_partkey * 1000 + l_suppkey * 10 + l_linenumber idx, (l_partkey % 70)::int a, (l_partkey % 70)::int + l_quantity::int b, l_quantity::int sc from lineitem where l_quantity::int >= 15),
+  p as (select x.read_id, x.idx i, y.idx j, x.sc + y.sc - greatest(x.b - y.a, 0) chim_score from s x join s y on x.read_id = y.read_id and x.idx <> y.idx and (x.a < y.a or (x.a = y.a and x.idx < y.idx)) where y.a - x.a >= 15 and y.b - x.b >= 15),
+  t as (select *, max(chim_score) over (partition by read_id) m from p where chim_score + 20 >= 80), u as (select *, count(*) over (partition by read_id) n_pairs from t where chim_score + 1 >= m)
+  select read_id, i, j, chim_score, n_pairs from u where n_pairs <= 10""")
+def chimeric_pairs(spark, sf_dir):
+    return chimeras.segment_pairs(_segments(spark, sf_dir))
+
+
+@query(f"""with {_CR}, a as (select cb, gene, count(*)::double v from mols group by all), b as (select cb, gene, count(distinct corrected)::double v from cr where gene % 3 > 0 group by all),
+  f as (select coalesce(a.v, 0) a, coalesce(b.v, 0) b from a full join b using (cb, gene)) select count(*) n, round(avg(abs(a - b) / (a + b)), 6) mard, round(power(corr(a, b), 2), 6) r2 from f where a + b > 0""")
+def matrix_compare(spark, sf_dir):
+    mols = umi.molecules(px.solo(spark, sf_dir))
+    a = umi.count_exact(mols).withColumnRenamed("n_umis", "value")
+    b = umi.count_corrected(umi.correct_cr(mols, 5)).where("gene % 3 > 0").withColumnRenamed("n_umis", "value")
+    return reports.compare_matrices(a, b).select("n", F.round("mard", 6).alias("mard"), F.round("r2", 6).alias("r2"))
+
+
+@query("""with r as (select l_suppkey cb, l_orderkey % 1024 umi, l_orderkey read, l_partkey % 20 gene, 1::bigint << (l_linenumber % 3)::int kind from lineitem),
+  p as (select cb, umi, gene, count(distinct read) k, bit_or(kind) kinds from r group by all), n as (select cb, umi, count(distinct read) n from r group by all),
+  o as (select *, count(*) over (partition by cb, umi) g from p join n using (cb, umi) where k = n)
+  select cb, gene, count(*) filter (where kinds = 1) spliced, count(*) filter (where kinds & 4 > 0 or kinds = 2) unspliced, count(*) filter (where not (kinds = 1 or kinds & 4 > 0 or kinds = 2)) ambiguous from o where g = 1 group by all""")
+def velocyto_counts(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kind = F.expr("shiftleft(1L, cast(l_linenumber % 3 as int))")
+    return quant.velocyto(li.select(F.col("l_suppkey").alias("cb"), (F.col("l_orderkey") % 1024).alias("umi"), F.col("l_orderkey").alias("read"), (F.col("l_partkey") % 20).alias("gene"), kind.alias("kind")))
+
+
+@query("""with b as (select distinct (s_suppkey * 37) % 65536 code from supplier), d as (select unnest(range(0, 8)) i), v as (select unnest([1, 2, 3]) x),
+  f as (select (x::bigint << (2 * i)::int) m from d, v), e0 as (select code edited, code match, 0 distance from b), e1 as (select distinct xor(edited, m) edited, match, 1 distance from e0, f), e2 as (select distinct xor(edited, m) edited, match, 2 distance from e1, f),
+  u as (select edited, match, min(distance) distance from (select * from e0 union all select * from e1 union all select * from e2) group by all),
+  w as (select *, min(distance) over (partition by edited) low from u), z as (select *, count(*) over (partition by edited) k from w where distance = low)
+  select edited, match, distance from z where k = 1""")
+def barcode_edited_whitelist(spark, sf_dir):
+    return bc.edited_whitelist(px.barcodes(spark, sf_dir)[0], 8)
+
+
+@query("""with u as (select p_partkey % 97 s, p_partkey % 97 + 50 + p_size % 3 e, [0, 10, 20, 30][p_size % 4 + 1] priority, (p_partkey % 7)::int motif, (p_partkey % 5)::int shift, (p_partkey % 3)::int strand, p_partkey from part),
+  r as (select *, row_number() over (partition by s, e order by priority desc, (motif > 0)::int desc, shift, strand) k from u)
+  select 'c' chr, s as start, e as "end", priority, (motif > 0)::int canonical, shift, strand from r where k = 1""")
+def junction_priority(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    s = F.col("p_partkey") % 97
+    rows = p.select(F.lit("c").alias("chr"), s.alias("start"), (s + 50 + F.col("p_size") % 3).alias("end"), F.element_at(F.array(*(F.lit(x) for x in (0, 10, 20, 30))), (F.col("p_size") % 4 + 1).cast("int")).alias("priority"), (F.col("p_partkey") % 7).cast("int").alias("motif"), (F.col("p_partkey") % 5).cast("int").alias("shift"), (F.col("p_partkey") % 3).cast("int").alias("strand"))
+    return sj.resolve(rows).select("chr", "start", "end", "priority", (F.col("motif") > 0).cast("int").alias("canonical"), "shift", "strand")
+
+
+@query(f"""with {_BL}, g as (select *, lag(e) over (partition by gene order by s, e) p from ge), j as (select chr, p s, s e, str, gene from g where p is not null and s > p)
+  select chr, s as start, e as "end", str strand, count(distinct gene) n_genes from j group by all""")
+def junctions_from_exons(spark, sf_dir):
+    ex = px.genes(spark, sf_dir).withColumn("transcript", F.col("gene"))
+    return sj.from_exons(ex).select("chr", "start", "end", F.col("strand").cast("long").alias("strand"), F.size("genes").cast("long").alias("n_genes"))
+
+
+@query(f"""with {_BL}, s as (select distinct chr, (s // 300) * 300 pos from ge) select distinct read_id, bl.chr, pos, 1 + (pos // 300 + read_id) % 4 allele
+  from bl join s on bl.chr = s.chr and bl.s <= pos and pos < bl.e""")
+def variant_alleles(spark, sf_dir):
+    ge = px.genes(spark, sf_dir).select("chr", F.expr("(start div 300) * 300").alias("pos")).distinct()
+    snps = ge.select("chr", "pos", F.lit("A").alias("ref"), F.lit("A").alias("a1"), F.lit("C").alias("a2"))
+    # each block's read has one base all along, by read and 300-base window, so that all four codes occur
+    spans = px.blocks(spark, sf_dir).withColumn("w", F.explode(F.sequence(F.expr("start div 300"), F.expr("(end - 1) div 300"))))
+    cut = spans.select("read_id", "chr", F.greatest("start", F.col("w") * 300).alias("start"), F.least("end", F.col("w") * 300 + 300).alias("end"), F.substring(F.lit("ACGN"), ((F.col("w") + F.col("read_id")) % 4 + 1).cast("int"), F.lit(1)).alias("base"))
+    blocks = cut.withColumn("seq", F.expr("repeat(base, cast(end - start as int))"))
+    return variants.read_alleles(blocks, snps).distinct().select("read_id", "chr", "pos", F.col("allele").cast("long").alias("allele"))
+
+
+@query("""with h as (select l_partkey % 400 distance, count(*) n from lineitem group by all) select distance, n, round(avg(n) over (order by distance rows between 50 preceding and 50 following), 6) smooth from h""")
+def end_profile(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") % 400).alias("distance"))
+    return reports.end_profile(d).withColumn("smooth", F.round("smooth", 6))
+
+
+@query("select l_suppkey cell, l_partkey % 20 gene, count(*) n_reads, count(distinct (l_returnflag, l_orderkey % 97, l_quantity)) n_exact from lineitem group by all")
+def smart_seq_counts(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return reports.smart_seq_counts(li.select(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 20).alias("gene"), F.col("l_returnflag").alias("chr"), (F.col("l_orderkey") % 97).alias("start"), F.col("l_quantity").alias("length")))
+
+
+@query("select l_suppkey cb, count(*) filter (where l_quantity > 25) exact, count(*) filter (where l_discount > 0.05) one_mismatch, count(*) filter (where l_linenumber = 1) mito from lineitem group by 1")
+def cell_read_flags(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return reports.read_flags(li.select(F.col("l_suppkey").alias("cb"), (F.col("l_quantity") > 25).alias("exact"), (F.col("l_discount") > 0.05).alias("one_mismatch"), (F.col("l_linenumber") == 1).alias("mito")), ["exact", "one_mismatch", "mito"])
+
+
+@query("""with g as (select 'A' sample, p_type gene, p_size::bigint c from part where p_size % 2 = 0 union all select 'B', p_type, p_size from part where p_size % 3 = 0)
+  select gene, coalesce(sum(c) filter (where sample = 'A'), 0)::bigint "A", coalesce(sum(c) filter (where sample = 'B'), 0)::bigint "B" from g group by gene""")
+def merged_gene_counts(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("gene"), F.col("p_size").cast("long").alias("unstranded"))
+    both = p.where("unstranded % 2 = 0").withColumn("sample", F.lit("A")).unionByName(p.where("unstranded % 3 = 0").withColumn("sample", F.lit("B")))
+    return reports.merge_gene_counts(both, ["A", "B"])
+
+
+@query("select ascii(c) quality, count(*) n from (select unnest(string_split(p_name, '')) c from part) where c <> '' group by 1")
+def quality_histogram(spark, sf_dir):
+    return al.quality_histogram(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("qual")))
