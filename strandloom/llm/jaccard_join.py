@@ -11,25 +11,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import bloom, settle
+from ._spark import bloom, settle, store
 from ._text import chunks, mix, shingle_sets
 from .components import connected_components
 
 #: Counters of the frequency sketch; its size does not depend on the data.
 SKETCH = 1 << 20
 _MASK = np.uint64(SKETCH - 1)
+#: 64-bit words of a set's parity sketch: bit b tells whether an odd number of its tokens fall to b.
+PARITY_WORDS = 8
+_PARITY = [f"odd{i}" for i in range(PARITY_WORDS)]
 
 
 @dataclass(frozen=True)
 class JaccardOptions:
     """width: words of a shingle; threshold: least similarity, as a fraction;
-    most_match: the largest number of shared prefix tokens asked for;
-    cost: partners that a document's prefix may lead to before the prefix is lengthened;
+    match: shared prefix tokens asked for, as a part of a document's tokens (at least one);
+    most_match: the same for documents whose prefix may lead to more than ``cost`` partners;
     salts: parts into which the list of a very common token is split."""
 
     width: int = 5
     threshold: Fraction = Fraction(3, 4)
-    most_match: int = 3
+    match: float = 0.08
+    most_match: float = 0.12
     cost: int = 64
     salts: int = 64
 
@@ -47,18 +51,22 @@ def _overview(options: JaccardOptions):
     """A row for each document, and one with the token counts of the whole task."""
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.int64)
+        counts, names = np.zeros(SKETCH, np.int64), ["doc_id", "n", "class", "counts", *_PARITY]
         for batch in batches:
             for lo, hi, data, bounds in chunks(batch.column(1)):
                 ids, sizes, classes, seen = batch.column(0).slice(lo, hi - lo), [], [], []
+                parity = np.zeros((hi - lo, PARITY_WORDS), np.int64)
                 for tokens in shingle_sets(data, bounds, options.width):
                     sizes.append(len(tokens))
                     classes.append(_class_of(tokens))
+                    odd = np.bincount(((tokens >> np.uint64(32)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+                    parity[len(seen)] = np.packbits(odd.astype(np.uint8)).view(np.int64)
                     seen.append(tokens)
                 counts += np.bincount((np.concatenate(seen) & _MASK).astype(np.int64), minlength=SKETCH)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(hi - lo, pa.binary())], ["doc_id", "n", "class", "counts"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(hi - lo, pa.binary()), *(pa.array(parity[:, i]) for i in range(PARITY_WORDS))], names)
         packed = zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], ["doc_id", "n", "class", "counts"])
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([packed], pa.binary()), *(none for _ in _PARITY)], names)
 
     return run
 
@@ -83,17 +91,18 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 def _ranks(total: np.ndarray) -> np.ndarray:
     """0 for tokens as common as most are; then a step for each doubling."""
-    usual = max(32, 2 * int(total.mean()))
+    usual = max(32, int(total.mean() + 4 * np.sqrt(total.mean())))
     with np.errstate(divide="ignore"):
         return np.where(total <= usual, 0, np.floor(np.log2(np.maximum(total, 1) / usual)) + 1).astype(np.uint8)
 
 
-def _prefixes(options: JaccardOptions, ranks):
+def _prefixes(options: JaccardOptions, counts):
     """A row for each token of a class's prefix: rare tokens first, then by hash. A task shows a class once."""
     num, den = options.threshold.numerator, options.threshold.denominator
 
     def run(batches):
-        rank, done = ranks.value, set()
+        total, done = counts.value, set()
+        rank = _ranks(total)
         for batch in batches:
             for lo, hi, data, bounds in chunks(batch.column(0)):
                 out = []
@@ -104,18 +113,19 @@ def _prefixes(options: JaccardOptions, ranks):
                     if (cls := _class_of(tokens)) in done:
                         continue
                     done.add(cls)
-                    r = rank[(tokens & _MASK).astype(np.int64)]
+                    slots = (tokens & _MASK).astype(np.int64)
+                    r = rank[slots]
+                    # the mean count of its tokens is highest for the text that most others are copies of
+                    outer = -int(min(total[slots].mean() * 16, 2**31 - 1))
                     if r.any():
                         order = np.argsort(r, kind="stable")
                         tokens, r = tokens[order], r[order]
                     short = n - -(-n * num // den) + 1
                     # partners to expect: those of the common tokens in the prefix
                     likely = float((np.float64(2.0) ** np.minimum(r[:short], 40) - 1).sum()) * 32
-                    match = 1
-                    while match < options.most_match and likely > options.cost * 8 ** (match - 1) and short + match <= n:
-                        match += 1
+                    match = min(1 + int(n * (options.most_match if likely > options.cost else options.match)), n - short + 1)
                     p = short + match - 1
-                    out.append((tokens[:p], r[:p], cls, n, match))
+                    out.append((tokens[:p], r[:p], cls, n, match, outer, np.arange(p, dtype=np.int32)))
                 if out:
                     each = [len(x[0]) for x in out]
                     yield pa.RecordBatch.from_arrays(
@@ -123,10 +133,12 @@ def _prefixes(options: JaccardOptions, ranks):
                             pa.array(np.concatenate([x[0] for x in out]).view(np.int64)),
                             pa.array(np.repeat(np.array([x[2] for x in out], np.int64), each)),
                             pa.array(np.repeat(np.array([x[3] for x in out], np.int32), each)),
-                            pa.array(np.repeat(np.array([x[4] for x in out], np.int8), each)),
+                            pa.array(np.repeat(np.array([x[4] for x in out], np.int32), each)),
                             pa.array(np.concatenate([x[1] for x in out]).astype(np.int8)),
+                            pa.array(np.repeat(np.array([x[5] for x in out], np.int32), each)),
+                            pa.array(np.concatenate([x[6] for x in out])),
                         ],
-                        ["token", "class", "n", "match", "rank"],
+                        ["token", "class", "n", "match", "rank", "outer", "pos"],
                     )
 
     return run
@@ -180,12 +192,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets make one class, and only classes are joined. Tokens stand in a
     global order (common ones last, by a sketch of all counts; then by hash), and
     a document's prefix holds its first n - ceil(t n) + l tokens; l rises with the
-    number of partners its common tokens would lead to, and a pair is verified only
-    if it shares as many prefix tokens as the smaller l of the two. Each token's
-    documents are first tried against its smallest class; pairs of classes that
-    are then still in different components are tried in a second round, so no
-    link between components is lost, and a group of near copies costs one trial per
-    member instead of one per pair.
+    number of partners its common tokens would lead to. A pair is verified only if
+    it shares as many tokens as the smaller l of the two, all within the first
+    n - a + l of either, a being the overlap that their two sizes ask for. Each
+    token's documents are first tried against the one whose tokens are the most
+    common on the whole, the likely origin of copies; pairs of classes that are then
+    still in different components, and whose parity sketches differ in no more bits
+    than linked sets may, are tried in a second round, so no link between
+    components is lost, and a group of near copies costs a trial per member.
 
     Null and blank texts have the empty set, link with nothing, and are their own
     component. Fewer words than ``width`` make one shingle. Repeated rows of an id
@@ -194,44 +208,67 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = settle(docs.mapInArrow(_overview(options), "doc_id long, n long, class long, counts binary"))
+    rows = store(docs.mapInArrow(_overview(options), "doc_id long, n long, class long, counts binary, " + ", ".join(f"{c} long" for c in _PARITY)))
     total = _sketch(rows)
     each = rows.where("counts is null").select("doc_id", "n", "class")
-    rank = spark.sparkContext.broadcast(_ranks(total))
+    counts = spark.sparkContext.broadcast(total.astype(np.uint32))
 
-    tokens = docs.select("text").mapInArrow(_prefixes(options, rank), "token long, class long, n int, match byte, rank byte")
+    tokens = docs.select("text").mapInArrow(_prefixes(options, counts), "token long, class long, n int, match int, rank byte, outer int, pos int")
     salted = tokens.withColumn("salt", F.when(F.col("rank") > 0, F.pmod(F.xxhash64("class", F.lit(7)), F.lit(options.salts))).otherwise(F.lit(0)).cast("int"))
-    of_token = Window.partitionBy("token", "salt").orderBy("class")
-    # a row survives if its neighbour in the token's list is another class; common tokens are told apart after their parts are put together
-    shared = salted.withColumn("prev", F.lag("class").over(of_token)).withColumn("next", F.lead("class").over(of_token))
-    shared = shared.where("(prev is null or prev != class) and (rank > 0 or prev is not null or next is not null)").select("token", "class", "n", "match", "rank")
-    shared = settle(shared)
+    group = Window.partitionBy("token", "salt")
+    of_token = group.orderBy("outer", "class")
+    row = ("outer", "class", "n", "match", "pos")
+    # a task shows a class once, other tasks may show it again; of each list the first row of a class stays
+    listed = salted.withColumn("prev", F.lag("class").over(of_token)).withColumn("k", F.count("*").over(group)).withColumn("p", F.first(F.struct(*row)).over(of_token))
+    listed = listed.where("(prev is null or prev != class) and (rank > 0 or k > 1)").select("token", *row, "rank", "k", "p")
+    listed = store(listed)
 
     num, den = options.threshold.numerator, options.threshold.denominator
-    lists = shared.groupBy("token").agg(F.min(F.struct("class", "n", "match")).alias("p"), F.max("class").alias("m")).where("p.class != m")
-    lists = lists.select("token", "p")
-    sized = f"least(n, p.n) * {den} >= greatest(n, p.n) * {num}"
-    listed = shared.join(lists, "token")
-    pairs = settle(listed.where(f"class != p.class and {sized}").select(F.col("p.class").alias("a"), F.col("class").alias("b")).distinct())
+
+    def may_link(x, y, longer=F.lit(True)):
+        """Whether a token shared by two rows stands in the prefixes that this pair's sizes (and matches, if longer) ask for."""
+        overlap = F.floor((num * (x("n") + y("n")) + num + den - 1) / (num + den))
+        more = F.when(longer, F.least(x("match"), y("match")) - 1).otherwise(0)
+        inside = [side("pos") <= side("n") - overlap + more for side in (x, y)]
+        return (F.least(x("n"), y("n")) * den >= F.greatest(x("n"), y("n")) * num) & inside[0] & inside[1]
+
+    # a common token's list was split, so its parts' first classes are put together
+    common = listed.where("rank > 0")
+    heads = common.groupBy("token").agg(F.min("p").alias("p"))
+    common = common.drop("p").join(heads, "token").select("token", *row, F.lit(3).cast("long").alias("k"), "p")
+    starred = listed.where("rank = 0").select("token", *row, "k", "p").unionAll(common)
+    # lists of two are settled here, the others' first trials may be fewer
+    starred = starred.where(F.col("class") != F.col("p.class")).where(may_link(F.col, lambda c: F.col(f"p.{c}"), F.col("k") == 2))
+    ends = F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")
+    pairs = settle(starred.select(*ends).distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
         keep = spark.sparkContext.broadcast(bloom(wanted, "class", wanted.count()))
         sets = docs.select("text").mapInArrow(_whole_sets(options, keep), "class long, tokens binary")
-        # each task that met a class shows it; what the filter let pass besides is dropped
-        sets = settle(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens")))
+        sets = sets.groupBy("class").agg(F.first("tokens").alias("tokens"))
         x, y = sets.select(F.col("class").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("class").alias("b"), F.col("tokens").alias("t"))
         return settle(pairs.join(x, "a").join(y, "b").select("a", "b", "s", "t").mapInArrow(_verify(options), "a long, b long"))
 
     links = verified(pairs)
     roots = connected_components(links)
 
-    # second round: classes that share enough prefix tokens and are still apart
-    placed = listed.select("token", "class", "n", "match").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # second round: classes that share enough prefix tokens and are still apart; lists of two were settled by the first
+    open_lists = listed.where("rank > 0 or k > 2").select("token", "class", "n", "match", "pos")
+    placed = open_lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    apart = settle(placed.join(mixed, "token"))
-    x, y = (apart.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "match", "root"))) for s in "xy")
-    tried = x.join(y, "token").where(f"class_x < class_y and root_x != root_y and least(n_x, n_y) * {den} >= greatest(n_x, n_y) * {num}")
+    apart = store(placed.join(mixed, "token"))
+    # a class with fewer such tokens than its smallest possible partner asks for has no partner
+    enough = apart.groupBy("class").agg(F.count("*").alias("k"), F.min("n").alias("n"))
+    enough = enough.where(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * num / den) * options.match)).select("class")
+    parity = rows.where("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in _PARITY))
+    apart = store(apart.join(enough, "class", "left_semi").join(parity, "class"))
+    x, y = (apart.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "match", "pos", "root", *_PARITY))) for s in "xy")
+    near = may_link(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))
+    # a token of one set only flips one bit, so the sketches differ in no more bits than the sets in tokens
+    bits = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _PARITY), F.lit(0))
+    differ = F.col("n_x") + F.col("n_y") - 2 * F.floor((num * (F.col("n_x") + F.col("n_y")) + num + den - 1) / (num + den))
+    tried = x.join(y, (x["token"] == y["token"]) & (F.col("class_x") < F.col("class_y")) & (F.col("root_x") != F.col("root_y")) & near & (bits <= differ))
     again = tried.groupBy(F.col("class_x").alias("a"), F.col("class_y").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("match_x", "match_y")).alias("need"))
     pairs = settle(again.where("k >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
