@@ -97,3 +97,14 @@ def test_expressions(spark):
     ).first()
     assert (row.rc, row.one, row.two, row.code, row.motif, row.bin, row["at"], row.cigar) == ("NACGT", 1, -2, "GATTACA", 3, 4681, 2, "13M2D9M")
     assert [(b.begin, b.end) for b in row.blocks] == [(5, 8), (18, 22)]
+
+
+def test_clipping(spark):
+    from strandloom.functions import clip
+
+    row = spark.range(1).select(
+        clip.adapter_start(F.lit("ACGTACGTAGATCGG"), "AGATCGGAAGAGC").alias("a"), clip.adapter_start(F.lit("CCCC"), "AG").alias("none"), clip.mate_overlap(F.lit("TTTTACGTAC"), F.lit("ACGTACGG")).alias("m"),
+        clip.poly_a_length(F.lit("CGCG" + "A" * 25)).alias("p"), clip.poly_a_length(F.lit("C" + "A" * 10 + "G" + "A" * 19)).alias("q"), clip.poly_a_length(F.lit("A" * 19)).alias("short"), clip.poly_a_length(F.lit("CT" * 20)).alias("no"),
+        *(c.alias(n) for c, n in zip(clip.repeat_shifts(F.lit("TTAG"), F.lit("CCAG"), F.lit("GTAA"), F.lit("GTCC")), ("left", "right"), strict=True)),
+    ).first()
+    assert (row.a, row.none, row.m, row.p, row.q, row.short, row.no, row.left, row.right) == (8, 4, 4, 25, 30, 0, 0, 2, 2)
