@@ -125,9 +125,10 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = 5) -> Iterat
     value, doc, first = word_hashes(data, bounds)
     n = len(value)
     steps = [_STEP[j % 5] * _U(2 * (j // 5) + 1) for j in range(width)]
-    rolled = np.zeros(max(n - width + 1, 0), np.uint64)
+    m = max(n - width + 1, 0)
+    rolled = np.zeros(m, np.uint64)
     for j in range(width):
-        rolled += value[j : n - width + 1 + j] * steps[j]
+        rolled += value[j : j + m] * steps[j]
     rolled = mix(rolled)
     for d in range(len(bounds) - 1):
         a, b = first[d], first[d + 1]

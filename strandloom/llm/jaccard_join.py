@@ -286,6 +286,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JaccardOptions = JaccardOptions()) -> DataFrame:
-    """The documents without those that are linked, directly or by way of others, to one of a smaller id."""
+    """The documents without those that are linked, directly or by way of others, to one of a smaller id.
+
+    Rows that repeat an id are one document and stay or go together; rows without an id stay.
+    """
     found = jaccard_classes(docs, id_col, text_col, options).where(f"component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(settle(found), id_col, "left_anti")

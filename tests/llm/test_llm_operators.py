@@ -294,3 +294,21 @@ def test_digest_of_kept_bytes(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         if got[r["doc_id"]]["n_removed"] == 0:
             assert got[r["doc_id"]]["kept_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def test_null_ids(spark):
+    rows = [(None, "a b c d e f g\nh i j k l m n"), (None, None), (1, "a b c d e f g\nh i j k l m n"), (2, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, "a b c d e f g"), (5, "h i j k l m n")], "item_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_classes(df).collect()} == {(None, 1), (None, None), (1, 1), (2, 2)}
+    assert drop_near_copies(df).count() == 4
+    got = {r["key"]["doc_id"]: r["n_removed"] for r in dedup_lines(df).where("text is not null").collect()}
+    assert got == {None: 0, 1: 2, 2: 0}
+    assert {r["n_removed"] for r in drop_repeats(df).collect()} == {0}
+    assert {r["item_id"] for r in contaminated(df, bench).collect()} == {None, 5} and decontaminate(df, bench).count() == 2
+    assert sum(r["mix_taken"] for r in allocate(df).collect()) == math.floor(1.5 * 31) and curriculum(df).count() > 0
+    assert quality_scores(df, labels).count() == 4 and tree_scores(df).count() == 4
+    from strandloom.llm.secrets import find_secrets
+
+    assert find_secrets(df).count() == 4
