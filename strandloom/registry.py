@@ -11,7 +11,7 @@ from . import proxies as px
 from .functions import cigar, sequence
 from .operators import alignments as al
 from .operators import barcodes as bc
-from .operators import cells, chimeras, intervals, liftover, quant, reports, seeds, umi, variants
+from .operators import cells, chimeras, intervals, liftover, quant, reports, seeds, transcripts, umi, variants
 from .operators import junctions as sj
 from .options import BarcodeMatch, ExpectationMaximisation, JunctionFilter, KneeFilter
 
@@ -507,3 +507,19 @@ def merged_gene_counts(spark, sf_dir):
 @query("select ascii(c) quality, count(*) n from (select unnest(string_split(p_name, '')) c from part) where c <> '' group by 1")
 def quality_histogram(spark, sf_dir):
     return al.quality_histogram(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("qual")))
+
+
+# --- transcripts ----------------------------------------------------------------------------------------------------
+
+_READ = "l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber"
+
+
+@query(f"""select distinct {_READ} read_id, l_partkey transcript, case when l_linenumber % 5 = 0 then l_suppkey % 40 else l_suppkey % 40 + 50 end t_start,
+  case when l_linenumber % 5 = 0 then l_suppkey % 40 + 30 else 110 + l_suppkey % 40 end t_end from lineitem where l_linenumber % 5 in (0, 1)""")
+def transcript_projection(spark, sf_dir):
+    return transcripts.project(*px.spliced(spark, sf_dir))
+
+
+@query(f"""select distinct {_READ} read_id, l_partkey transcript, case when l_linenumber % 5 in (0, 1) then 'exonic' when l_linenumber % 5 = 4 or (l_linenumber % 5 = 3 and l_suppkey % 40 >= 20) then 'intronic' else 'spanning' end kind from lineitem""")
+def transcript_concordance(spark, sf_dir):
+    return transcripts.concordance(*px.spliced(spark, sf_dir))
