@@ -62,3 +62,39 @@ def edited_whitelist(barcodes: DataFrame, bases: int, code: str = "code", most:
     w = Window.partitionBy("edited")
     nearest = whole.groupBy("edited", "match").agg(F.min("distance").alias("distance")).withColumn("_low", F.min("distance").over(w)).where("distance = _low")
     return nearest.withColumn("_k", F.count("*").over(w)).where("_k = 1").select("edited", "match", "distance")
+
+
+def extract(reads: DataFrame, start: int, length: int, name: str, seq: str = "seq", qual: str = "qual", anchor: str | None = None) -> DataFrame:
+    """Adds the barcode and its qualities: ``length`` bases from ``start`` (0-based), counted from a column of anchor positions if one is named.
+
+    Null where the read is too short or has no anchor.
+    """
+    at = F.lit(start) if anchor is None else F.col(anchor) + start
+    fits = (at >= 0) & (at + length <= F.length(seq))
+    cut = lambda c: F.when(fits, F.substring(F.col(c), (at + 1).cast("int"), F.lit(length)))
+    return reads.withColumn(name, cut(seq)).withColumn(f"{name}_qual", cut(qual))
+
+
+def combined_index(parts: DataFrame, sizes: list[int], columns: list[str]) -> DataFrame:
+    """Adds cb, the mixed-radix number of a complex barcode from the numbers of its parts; the first part varies slowest.
+
+    Names of combinations are made for those that occur, never for the whole product.
+    """
+    number = F.lit(0).cast("long")
+    for size, column in zip(sizes, columns, strict=True):
+        number = number * size + F.col(column)
+    return parts.withColumn("cb", number)
+
+
+def split_index(cells: DataFrame, sizes: list[int], columns: list[str]) -> DataFrame:
+    """The parts' numbers of a combined index."""
+    out, rest = cells, F.col("cb")
+    for size, column in reversed(list(zip(sizes, columns, strict=True))):
+        out = out.withColumn(column, rest % size)
+        rest = F.floor(rest / size)
+    return out
+
+
+def by_barcode(records: DataFrame, partitions: int, column: str = "cb") -> DataFrame:
+    """Records dealt by barcode and ordered within each part."""
+    return records.repartition(partitions, column).sortWithinPartitions(column)

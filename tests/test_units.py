@@ -108,3 +108,33 @@ def test_clipping(spark):
         *(c.alias(n) for c, n in zip(clip.repeat_shifts(F.lit("TTAG"), F.lit("CCAG"), F.lit("GTAA"), F.lit("GTCC")), ("left", "right"), strict=True)),
     ).first()
     assert (row.a, row.none, row.m, row.p, row.q, row.short, row.no, row.left, row.right) == (8, 4, 4, 25, 30, 0, 0, 2, 2)
+
+
+def test_scores(spark):
+    from strandloom.operators import scoring
+
+    rows = [("ACGTN", "ACCTA", [(1, 100, 0)], 105), ("AC", "AC", [(-1, 3, 0), (-2, 2, 0), (0, 50, 0), (3, 9, 0), (5, 9, 0), (6, 9, 1), (-3, 0, 0)], 1)]
+    df = spark.createDataFrame(rows, "read_bases string, genome_bases string, gaps array<struct<kind:int,len:int,annot:int>>, span long")
+    got = sorted((r["n_match"], r["n_mm"], r["score"]) for r in scoring.score(df).collect())
+    assert got == [(2, 0, 2 - 8 - 6 - 8 - 4 - 8 + 2), (3, 1, 2 - 2)]
+    assert df.select(scoring.md_tag(F.lit("ACGTT"), F.lit("ACCTA")).alias("m")).first()["m"] == "2C1A0"
+
+
+def test_projection_needs_matching_junctions(spark):
+    from strandloom.operators import transcripts
+
+    ex = spark.createDataFrame([("c", 0, 10, "t"), ("c", 20, 30, "t")], "chr string, start long, end long, transcript string")
+    bl = spark.createDataFrame([(1, "c", 5, 10), (1, "c", 20, 25), (2, "c", 5, 9), (2, "c", 20, 25), (3, "c", 2, 4), (3, "c", 6, 8), (4, "c", 12, 15)], "read_id long, chr string, start long, end long")
+    assert {(r["read_id"], r["t_start"], r["t_end"]) for r in transcripts.project(bl, ex).collect()} == {(1, 5, 15), (3, 2, 8)}
+    assert {r["read_id"]: r["kind"] for r in transcripts.concordance(bl, ex).collect()} == {1: "exonic", 2: "spanning", 3: "exonic", 4: "intronic"}
+
+
+def test_barcode_parts(spark):
+    from strandloom.operators import barcodes
+
+    df = spark.createDataFrame([("AACCGG", "ABCDEF", 2), ("AA", "AB", 1)], "seq string, qual string, at int")
+    assert [(r["cb"], r["cb_qual"]) for r in barcodes.extract(df, 0, 3, "cb").collect()] == [("AAC", "ABC"), (None, None)]
+    assert [r["cb"] for r in barcodes.extract(df, 1, 2, "cb", anchor="at").collect()] == ["CG", None]
+    parts = spark.createDataFrame([(2, 1, 3)], "a long, b long, c long")
+    one = barcodes.split_index(barcodes.combined_index(parts, [3, 4, 5], ["a", "b", "c"]).select("cb"), [3, 4, 5], ["a", "b", "c"]).first()
+    assert (one["cb"], one["a"], one["b"], one["c"]) == (2 * 20 + 1 * 5 + 3, 2, 1, 3)
