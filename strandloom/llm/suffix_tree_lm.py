@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import store
+from ._spark import Bloom, bloom, store
 from ._text import chunks, mix, word_hashes
 
 _U = np.uint64
@@ -20,17 +21,18 @@ END = _U(0x7F4A7C159E3779B9)
 HELD_WORDS = 1 << 21
 #: Least count of a held word; so that the part of a corpus that is joined is alike at every size.
 HELD_COUNT = 4
+#: The same for strings of the tree: from this count on, at most so many; rarer ones are joined.
+HELD_STRINGS = 1 << 20
+HELD_STRING_COUNT = 32
 _FLUSH = 1 << 21
 
 
 @dataclass(frozen=True)
 class TreeOptions:
-    """depth: words of the longest context; p_min: least probability of a string (context and next word)
-    in the corpus for its count to be kept, which bounds each level of the tree to 1 / p_min entries;
-    least: its least count; discount: taken off each kept count for words not kept."""
+    """depth: words of the longest context; least: least count of a string (context and next word), at every
+    size of the corpus; discount: taken off each kept count for words not kept."""
 
     depth: int = 2
-    p_min: float = 1e-6
     least: int = 8
     discount: float = 0.5
 
@@ -61,160 +63,105 @@ def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_keys[at] == keys
 
 
-def _strings(token: np.ndarray, doc: np.ndarray, levels: list[np.ndarray]):
-    """Positions, contexts, and the contexts one word shorter, of strings whose two shorter strings are frequent.
+def _endings(token: np.ndarray, doc: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for k < size the hashes of the k + 1 words that end at each position, the position's number in its text).
 
-    levels[k] has the sorted hashes of frequent strings of k + 1 words. Returns (position, context of
-    len(levels) words, shorter context, hash of the string).
+    A hash stands for words of one text where that number is k or more.
     """
-    size = len(levels)
     n = len(token)
-    # hash of the k words that end at each position
-    ending = [token]
+    ends = [token]
     for k in range(1, size):
         longer = np.zeros(n, np.uint64)
-        longer[k:] = _join(ending[k - 1][k - 1 : n - 1], token[k:]) if k == 1 else _ending(token, k, n)
-        ending.append(longer)
-    at = np.arange(size, n)
-    at = at[doc[at - size] == doc[at]]
-    for k in range(size - 1, -1, -1):
-        at = at[_has(levels[k], ending[k][at - 1])[1]]
-        at = at[_has(levels[k], ending[k][at])[1]]
-    context = ending[size - 1][at - 1]
-    shorter = ending[size - 2][at - 1] if size > 1 else np.zeros(len(at), np.uint64)
-    return at, context, shorter
+        longer[k:] = _join(ends[k - 1][k - 1 : n - 1], token[k:])
+        ends.append(longer)
+    return ends, np.arange(n) - np.searchsorted(doc, doc)
 
 
-def _ending(token: np.ndarray, k: int, n: int) -> np.ndarray:
-    h = token[: n - k]
-    for j in range(1, k + 1):
-        h = _join(h, token[j : n - k + j])
-    return h
-
-
-def _counted(levels_var):
-    """Counts of strings, summed over a few million words before they leave the task."""
+def _counted(size: int, frequent_var):
+    """Counts of strings of a context of ``size`` words and a next word, summed over a few million words before
+    they leave the task. A string that is frequent has frequent parts, so others aren't counted."""
 
     def run(batches):
-        levels = levels_var.value if levels_var is not None else []
         held: list[np.ndarray] = []
-        size = 0
+        many = 0
 
         def flush():
-            rows = np.concatenate(held, axis=1)
-            key = mix(rows[0] + mix(rows[1] + _U(1))) if levels else rows[1]
+            key, context, token = np.concatenate(held, axis=1)
             _, first, count = np.unique(key, return_index=True, return_counts=True)
-            context, token, shorter = (rows[i][first].view(np.int64) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(context), pa.array(token), pa.array(shorter), pa.array(count)], ["context", "token", "shorter", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(token[first].view(np.int64)), pa.array(count)], ["context", "token", "c"])
 
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0)):
                 token, doc = _tokens(data, bounds)
-                if levels:
-                    at, context, shorter = _strings(token, doc, levels)
-                    token = token[at]
+                if size:
+                    ends, place = _endings(token, doc, size)
+                    good = frequent_var.value.test(ends[-1])
+                    at = np.flatnonzero(place >= size)
+                    at = at[good[at - 1] & good[at]]
+                    context, token = ends[-1][at - 1], token[at]
+                    held.append(np.stack([_join(context, token), context, token]))
                 else:
-                    context = shorter = np.zeros(len(token), np.uint64)
-                held.append(np.stack([context, token, shorter]))
-                size += len(token)
-                if size >= _FLUSH:
+                    held.append(np.stack([token, np.zeros(len(token), np.uint64), token]))
+                many += len(token)
+                if many >= _FLUSH:
                     yield flush()
-                    held, size = [], 0
-        if size:
+                    held, many = [], 0
+        if many:
             yield flush()
 
     return run
 
 
-@dataclass
-class Tree:
-    """What scoring needs: sorted hashes of the retained contexts and of their kept strings, and log10 factors.
+def _keyed(batches):
+    """Adds the hash of each string and that of the string without its first word."""
+    for batch in batches:
+        context, token, shorter = (batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("context", "token", "shorter"))
+        one = batch.column("one").to_numpy(zero_copy_only=False)
+        key, suffix = _join(context, token), np.where(one, token, _join(shorter, token))
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("context", "token", "c", "total")), pa.array(key.view(np.int64)), pa.array(suffix.view(np.int64))], ["context", "token", "c", "total", "key", "suffix"])
 
-    For level k (contexts of k + 1 words): states[k] with skip[k], the factor of a next word that the
-    state does not keep; strings[k] with gain[k], the kept words' probability over the root's.
-    """
 
-    states: list[np.ndarray]
-    skip: list[np.ndarray]
-    strings: list[np.ndarray]
-    gain: list[np.ndarray]
-
-    def adjust(self, token: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 of P(word | longest retained suffix) / P(word), at each position."""
-        n = len(token)
-        total = np.zeros(n)
-        for k, states in enumerate(self.states):
-            if n <= k + 1 or not len(states):
-                continue
-            at = np.arange(k + 1, n)
-            at = at[doc[at - k - 1] == doc[at]]
-            context = token[at - k - 1]
-            for j in range(k, 0, -1):
-                context = _join(context, token[at - j])
-            place, known = _has(states, context)
-            at, context, place = at[known], context[known], place[known]
-            found, kept = _has(self.strings[k], mix(context + mix(token[at] + _U(1))))
-            total[at] = np.where(kept, self.gain[k][found] if len(self.gain[k]) else 0.0, self.skip[k][place] + total[at])
-        return total
-
-
-def grow(unigrams: dict[str, np.ndarray], levels: list[dict[str, np.ndarray]], n: int, v: int, options: TreeOptions) -> Tree:
+def grow(words: DataFrame, level: DataFrame, shorter: DataFrame | None, den: float, n: int, options: TreeOptions) -> tuple[DataFrame, DataFrame]:
     """Retains the contexts whose next-word distribution diverges from their suffix's.
 
     A context s with count c passes if c KL(P(.|s) || P(.|suffix)) is at least half its kept words times
     ln N; words not kept are one more outcome. Its suffix is the longest retained one.
     Kept words have their count less the discount; the rest of the mass goes to the
     other words in proportion to the suffix's distribution.
+
+    words, level and shorter hold the frequent words and strings of this and the level before. Gives the
+    strings with ``ratio``, log10 of their last word's probability over the root's, and ``weight``, what a
+    kept string adds to its context's weight and the shorter string's ratio; and the contexts with
+    ``weight``, the factor of a next word not kept. So a text's score is a sum of weights.
     """
-    tree = Tree([], [], [], [])
-    root_of = lambda h: (unigrams["c"][_has(unigrams["token"], h)[0]] + 0.1) / (n + 0.1 * (v + 1))
-    counts = {"key": unigrams["token"], "c": unigrams["c"]}
-    for k, level in enumerate(levels):
-        order = np.lexsort((level["token"], level["context"]))
-        context, token, shorter, c = (level[x][order] for x in ("context", "token", "shorter", "c"))
-        own, first = np.unique(context, return_index=True)
-        place, _ = _has(counts["key"], own)
-        total = counts["c"][place].astype(float)
-        row = np.searchsorted(own, context)
-        root = root_of(token)
-        # probability under the longest retained suffix
-        parent = root.copy()
-        if k:
-            at, known = _has(tree.states[k - 1], shorter)
-            found, kept = _has(tree.strings[k - 1], mix(shorter + mix(token + _U(1))))
-            gain = tree.gain[k - 1][found] if len(tree.gain[k - 1]) else np.zeros(len(token))
-            skip = tree.skip[k - 1][at] if len(tree.skip[k - 1]) else np.zeros(len(token))
-            parent = np.where(known, root * 10.0 ** np.where(kept, gain, skip), root)
-        p = (c - options.discount) / total[row]
-        rest = np.maximum(1 - np.bincount(row, p, len(own)), 1e-12)
-        rest_parent = np.maximum(1 - np.bincount(row, parent, len(own)), 1e-12)
-        divergence = np.bincount(row, p * np.log(p / parent), len(own)) + rest * np.log(rest / rest_parent)
-        size = np.bincount(row, minlength=len(own))
-        good = total * divergence >= 0.5 * size * math.log(max(n, 2))
-        tree.states.append(own[good])
-        tree.skip.append(np.log10(rest / rest_parent)[good])
-        keep = good[row]
-        strings = mix(context[keep] + mix(token[keep] + _U(1)))
-        by = np.argsort(strings)
-        tree.strings.append(strings[by])
-        tree.gain.append(np.log10(p / root)[keep][by])
-        joined = _join(context, token)
-        by = np.argsort(joined)
-        counts = {"key": joined[by], "c": c[by]}
-    return tree
-
-
-def _arrays(df: DataFrame, names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """Rows of a size bounded by p_min, as arrays."""
+    level = level.join(words.select("token", ((F.col("c") + 0.1) / F.lit(den)).alias("root")), "token")
+    if shorter is None:
+        level = level.withColumn("v", F.lit(0.0))
+    else:
+        level = level.join(shorter.select(F.col("key").alias("suffix"), F.col("ratio").alias("v")), "suffix")
+    level = level.withColumn("p", (F.col("c") - options.discount) / F.col("total")).withColumn("parent", F.col("root") * F.pow(F.lit(10.0), "v"))
+    each = level.groupBy("context").agg(F.sum("p").alias("p"), F.sum("parent").alias("parent"), F.sum(F.col("p") * F.log(F.col("p") / F.col("parent"))).alias("kl"), F.count("*").alias("size"), F.first("total").alias("c"))
+    rest, rest_parent = (F.greatest(1 - F.col(x), F.lit(1e-12)) for x in ("p", "parent"))
+    good = F.col("c") * (F.col("kl") + rest * F.log(rest / rest_parent)) >= 0.5 * F.col("size") * math.log(max(n, 2))
+    states = store(each.where(good).select(F.col("context").alias("key"), "c", F.log10(rest / rest_parent).alias("weight")))
+    gain = F.log10(F.col("p") / F.col("root"))
+    level = level.join(states.select(F.col("key").alias("context"), F.col("weight").alias("skip")), "context", "left")
+    return store(level.select("key", "suffix", "c", F.when(F.col("skip").isNotNull(), gain).otherwise(F.col("v")).alias("ratio"), (gain - F.col("skip") - F.col("v")).alias("weight"))), states
+
+
+def _arrays(df: DataFrame, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bounded number as arrays, in the order of the first column."""
     table = df.select(*names).toArrow()
-    return {x: table.column(x).to_numpy().astype(np.int64).view(np.uint64) if x != "c" else table.column(x).to_numpy() for x in names}
+    key, value = table.column(names[0]).to_numpy().astype(np.int64).view(np.uint64), table.column(names[1]).to_numpy()
+    order = np.argsort(key)
+    return key[order], value[order]
 
 
-def _scores(tree_var, words_var, den: float):
-    kinds = ["row_key", "doc_id", "n_tokens", "base", "known", "adjust", "token", "times"]
+def _scores(depth: int, words_var, strings_var, any_var):
+    kinds = ["row_key", "doc_id", "n_tokens", "base", "known", "adjust", "token", "word", "times"]
 
     def run(batches):
-        tree, (held, logs) = tree_var.value, words_var.value
+        (held, logs), (strings, weights, all_held), any_of = words_var.value, strings_var.value, any_var.value
         for batch in batches:
             for lo, hi, data, bounds in chunks(batch.column(2)):
                 docs = hi - lo
@@ -222,34 +169,48 @@ def _scores(tree_var, words_var, den: float):
                 at, found = _has(held, token)
                 base = np.bincount(doc[found], logs[at[found]], docs)
                 known = np.bincount(doc[found], minlength=docs)
-                adjust = np.bincount(doc, tree.adjust(token, doc), docs)
+                rare, of, adjust = [token[~found]], [doc[~found]], np.zeros(docs)
+                ends, place = _endings(token, doc, depth + 1)
+                for k, end in enumerate(ends):
+                    inside = np.flatnonzero(any_of.test(end) & (place >= k))
+                    at, found = _has(strings, end[inside])
+                    adjust += np.bincount(doc[inside[found]], weights[at[found]], docs)
+                    if not all_held:
+                        rare.append(end[inside[~found]])
+                        of.append(doc[inside[~found]])
                 keys = batch.column(0).slice(lo, docs)
                 none = pa.nulls(docs, pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, batch.column(1).slice(lo, docs), pa.array(np.bincount(doc, minlength=docs)), pa.array(base), pa.array(known), pa.array(adjust), none, none], kinds)
-                rare, of = token[~found], doc[~found]
-                if len(rare):
+                yield pa.RecordBatch.from_arrays([keys, batch.column(1).slice(lo, docs), pa.array(np.bincount(doc, minlength=docs)), pa.array(base), pa.array(known), pa.array(adjust), none, pa.nulls(docs, pa.bool_()), none], kinds)
+                for rare, of, word in ((rare[0], of[0], True), (np.concatenate([rare[0][:0], *rare[1:]]), np.concatenate([of[0][:0], *of[1:]]), False)):
+                    if not len(rare):
+                        continue
                     order = np.lexsort((rare, of))
                     rare, of = rare[order], of[order]
                     first = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1]))))
                     times = np.diff(np.concatenate((first, [len(rare)])))
                     m = len(first)
                     ints, floats = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(of[first])), ints, ints, floats, ints, floats, pa.array(rare[first].view(np.int64)), pa.array(times)], kinds)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(of[first])), ints, ints, floats, ints, floats, pa.array(rare[first].view(np.int64)), pa.array(np.full(m, word)), pa.array(times)], kinds)
 
     return run
 
 
+def _filter(df: DataFrame, column: str) -> Bloom:
+    return bloom(df, column, df.count())
+
+
 def tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, options: TreeOptions = TreeOptions()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Words are hashed to 64 bits. Counts are of all training texts, those whose
     crc32(id as text) mod folds is not 0. Level by level, strings of one more word
-    are counted where both shorter strings reach p_min, so each level read to the
-    driver, and shown to all tasks, has 1 / p_min rows at most. A word's probability is
+    are counted where filters of a fixed size at most say that both shorter strings
+    may be frequent; those with the least count stay, as tables that grow with the
+    corpus. A word's probability is
     that of the longest retained context before it in the text; the base is the root,
     which also gives words never seen their share. The most common words' counts
-    are held by all tasks (HELD_COUNT at least, HELD_WORDS at most); rarer words of a text are joined with
-    their counts and summed.
+    and strings' weights are held by all tasks (HELD_COUNT and HELD_STRING_COUNT at least, HELD_WORDS and
+    HELD_STRINGS at most); rarer words and strings of a text are joined with theirs and summed.
 
     Null and empty texts have the end as their only token. Null ids are held out
     never and learned from. Repeated rows are learned from each time and each get
@@ -260,35 +221,39 @@ def tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     training = rows.where(~held_out).select("text")
     share = spark.sparkContext.broadcast
-    kind = "context long, token long, shorter long, c long"
-    words = store(training.mapInArrow(_counted(None), kind).groupBy("token").agg(F.sum("c").alias("c")))
+    kind = "context long, token long, c long"
+    words = store(training.mapInArrow(_counted(0, None), kind).groupBy("token").agg(F.sum("c").alias("c")))
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = size["n"], size["v"]
-    least = max(options.least, math.ceil(options.p_min * n))
-    unigrams = _arrays(words.where(F.col("c") >= least).orderBy("token"), ("token", "c"))
-    order = np.argsort(unigrams["token"])
-    unigrams = {k: x[order] for k, x in unigrams.items()}
-    frequent, levels = [unigrams["token"]], []
+    den = n + 0.1 * (v + 1)
+    frequent = words.where(F.col("c") >= options.least)
+    before, shorter, tree = frequent.select(F.col("token").alias("key"), "c", F.lit(0).cast("long").alias("suffix")), None, []
     for k in range(options.depth):
-        counted = training.mapInArrow(_counted(share(list(frequent))), kind).groupBy("context", "token", "shorter").agg(F.sum("c").alias("c"))
-        level = _arrays(counted.where(F.col("c") >= least), ("context", "token", "shorter", "c"))
-        levels.append(level)
-        frequent.append(np.sort(_join(level["context"], level["token"])))
-    tree = grow(unigrams, levels, n, v, options)
+        counted = training.mapInArrow(_counted(k + 1, share(_filter(before, "key"))), kind).groupBy("context", "token").agg(F.sum("c").alias("c")).where(F.col("c") >= options.least)
+        level = counted.join(before.select(F.col("key").alias("context"), F.col("c").alias("total"), F.col("suffix").alias("shorter")), "context").withColumn("one", F.lit(k == 0))
+        level = store(level.mapInArrow(_keyed, "context long, token long, c long, total long, key long, suffix long"))
+        shorter, states = grow(frequent, level, shorter, den, n, options)
+        tree += [shorter.where("weight is not null").select("key", "c", "weight"), states]
+        before = shorter
+    strings = functools.reduce(DataFrame.unionAll, tree, spark.createDataFrame([], "key long, c long, weight double"))
+    strings = store(strings.groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight")))
 
-    den = n + 0.1 * (v + 1)
     common = max(HELD_COUNT, _least_count(words, HELD_WORDS))
-    held = _arrays(words.where(F.col("c") >= common), ("token", "c"))
-    order = np.argsort(held["token"])
-    logs = np.log10((held["c"][order] + 0.1) / den)
+    token, c = _arrays(words.where(F.col("c") >= common), ("token", "c"))
+    often = max(HELD_STRING_COUNT, _least_count(strings, HELD_STRINGS))
+    few = strings.where(F.col("c") < often)
+    held = (*_arrays(strings.where(F.col("c") >= often), ("key", "weight")), few.isEmpty())
     out = rows.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
-    kinds = "row_key long, doc_id long, n_tokens long, base double, known long, adjust double, token long, times long"
-    scored = store(out.mapInArrow(_scores(share(tree), share((held["token"][order], logs)), den), kinds))
-    rare = scored.where("times is not null").select("row_key", "token", "times").distinct().join(words.where(F.col("c") < common), "token", "left")
-    rare = rare.groupBy("row_key").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(den))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("also"))
+    kinds = "row_key long, doc_id long, n_tokens long, base double, known long, adjust double, token long, word boolean, times long"
+    scored = store(out.mapInArrow(_scores(options.depth, share((token, np.log10((c + 0.1) / den))), share(held), share(_filter(strings, "key"))), kinds))
+    of = words.where(F.col("c") < common).select("token", F.lit(True).alias("word"), "c", F.lit(0.0).alias("weight"))
+    of = of.unionAll(few.select(F.col("key").alias("token"), F.lit(False).alias("word"), F.lit(0).cast("long").alias("c"), "weight"))
+    rare = scored.where("times is not null").select("row_key", "token", "word", "times").distinct().join(of, ["token", "word"], "left")
+    log = F.when(F.col("word"), F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(den))).otherwise(F.lit(0.0))
+    rare = rare.groupBy("row_key").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("shift"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("also"))
     whole = scored.where("times is null").join(rare, "row_key", "left")
     base: Column = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return whole.select("doc_id", held_out.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("adjust")).alias("score"))
+    return whole.select("doc_id", held_out.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("adjust") + F.coalesce("shift", F.lit(0.0))).alias("score"))
 
 
 def _least_count(words: DataFrame, most: int) -> int:

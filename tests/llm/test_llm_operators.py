@@ -191,6 +191,21 @@ def test_tree_base_and_gain(spark, docs, empty, texts):
     assert held[0] > held[1] + 100
 
 
+def test_tree_keeps_rare_strings_of_large_corpora(spark):
+    """Nine occurrences count among twelve million words as among few; also where strings are joined, not held."""
+    many = spark.range(1, 61).select(F.col("id").alias("doc_id"), F.expr("repeat('a ', 250000)").alias("text"))
+    few = spark.createDataFrame([(i, "p q") for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 10][:9], "doc_id long, text string")
+    held = next(i for i in range(2000, 2400) if zlib.crc32(str(i).encode()) % 10 == 0)
+    last = spark.createDataFrame([(held, "p q")], "doc_id long, text string")
+    got = tree_scores(many.unionAll(few).unionAll(last)).where(F.col("doc_id") == held).first()
+    assert got["held_out"] and got["train_tokens"] > 8_000_000
+    # both q after p and the end after q have 8.5 of 9
+    n, v = got["train_tokens"], 4
+    ends = 9 + sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in range(1, 61))
+    root = [math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in (9, 9, ends)]
+    assert abs(got["base_score"] - sum(root)) < 1e-6 and abs(got["score"] - root[0] - 2 * math.log10(8.5 / 9)) < 1e-6
+
+
 def test_quality_separates(spark, empty):
     rng = random.Random(2)
     rows = [(i, prose(rng, 200) if i % 2 else "BUY!! " * rng.randint(20, 200)) for i in range(400)] + [(400, ""), (401, None)]
