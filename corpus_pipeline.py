@@ -11,7 +11,7 @@ from strandloom.llm._spark import store, table
 from strandloom.llm.curriculum import curriculum
 from strandloom.llm.decontaminate import decontaminate
 from strandloom.llm.jaccard_join import drop_near_copies
-from strandloom.llm.line_dedup import dedup_lines
+from strandloom.llm.line_dedup import LineOptions, dedup_lines
 from strandloom.llm.quality import keep_quality
 
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that occur earlier go, and with them documents of which nothing is left; n_chars follows the text."""
-    cut = dedup_lines(docs).where("n_removed = 0 or text != ''")
+    """Runs of lines, and lines of 50 words or more, that occur earlier go, and with them documents of which nothing is left; n_chars follows the text."""
+    cut = dedup_lines(docs, options=LineOptions(long_line=50)).where("n_removed = 0 or text != ''")
     columns = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("key.n_chars"))}
     return cut.select(*(columns.get(c, F.col(f"key.`{c}`")).alias(c) for c in docs.columns))
 

@@ -20,7 +20,7 @@ from strandloom.llm.components import connected_components
 from strandloom.llm.curriculum import allocate, curriculum
 from strandloom.llm.decontaminate import contaminated, decontaminate
 from strandloom.llm.jaccard_join import drop_near_copies, jaccard_classes
-from strandloom.llm.line_dedup import dedup_lines
+from strandloom.llm.line_dedup import LineOptions, dedup_lines
 from strandloom.llm.quality import keep_quality, quality_scores
 from strandloom.llm.suffix_dedup import RepeatOptions, drop_repeats
 from strandloom.llm.suffix_tree_lm import TreeOptions, tree_scores
@@ -133,6 +133,25 @@ def test_lines(docs, empty, texts):
     assert dedup_lines(empty).count() == 0
 
 
+def test_long_lines(spark, docs, texts):
+    import corpus_pipeline
+
+    first, seen, gone = {}, {}, collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        lines = [] if t is None else t.split("\n")
+        for k in range(len(lines)):
+            if len(WORD.findall(lines[k])) >= 50 and seen.setdefault(lines[k], (i, k)) != (i, k):
+                gone[i] |= {k}
+            if k + 1 < len(lines) and first.setdefault(tuple(lines[k : k + 2]), (i, k)) != (i, k):
+                gone[i] |= {k, k + 1}
+    assert gone[8] == {0} and gone[15] >= {1}
+    for r in dedup_lines(docs, options=LineOptions(long_line=50)).where("text is not null").collect():
+        i = r["key"]["doc_id"]
+        assert r["n_removed"] == len(gone[i]) and r["text"] == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone[i])
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert 8 not in kept and texts[15].split("\n")[1] not in kept[15].split("\n")
+
+
 def test_contamination(spark, docs, empty, texts):
     long = texts[20].split()
     items = [(1, " ".join(texts[7].upper().split()[10:60])), (2, " ".join(long[:20] + ["q"] * 3)), (3, "one two"), (4, None), (5, ""), (6, " ".join(long[100:112])), (6, " ".join(long[100:112]))]
