@@ -20,6 +20,8 @@ SKETCH = 1 << 20
 _MASK = np.uint64(SKETCH - 1)
 #: 64-bit words of a set's parity sketch: bit b tells whether an odd number of its tokens fall to b.
 PARITY_WORDS = 8
+#: Sets in a block of a component whose links are counted; each pair of blocks is a task's group.
+BLOCK = 128
 _PARITY = [f"odd{i}" for i in range(PARITY_WORDS)]
 
 
@@ -180,14 +182,55 @@ def _verify(options: JaccardOptions):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JaccardOptions = JaccardOptions()) -> DataFrame:
+def _block_links(options: JaccardOptions):
+    num, den = options.threshold.numerator, options.threshold.denominator
+
+    def run(key, group):
+        """The links between two blocks, or inside one, as counts of each class."""
+        left = group.column("left").to_numpy()
+        own, sets = group.column("class").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("tokens").combine_chunks()]
+        inside, count = key[1] == key[2], np.zeros(len(own), np.int64)
+        for a in np.flatnonzero(left):
+            others = np.arange(a + 1, len(own)) if inside else np.flatnonzero(~left)
+            for b in others:
+                s, t = sorted((sets[a], sets[b]), key=len)
+                if len(s) * den < num * len(t):
+                    continue
+                at = np.searchsorted(t, s)
+                at[at == len(t)] = 0
+                both = int((t[at] == s).sum())
+                if den * both >= num * (len(s) + len(t) - both):
+                    count[a] += 1
+                    count[b] += 1
+        return pa.table({"class": own, "n_links": count})
+
+    return run
+
+
+def _link_counts(docs: DataFrame, roots: DataFrame, options: JaccardOptions) -> DataFrame:
+    """(class, n_links): every pair of a component is verified, block by block, as links never leave it."""
+    # a root has no row of its own
+    wanted = settle(roots.select(F.col("node").alias("class"), "root").unionAll(roots.select(F.col("root").alias("class"), "root")).distinct())
+    keep = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "class", wanted.count()))
+    sets = docs.select("text").mapInArrow(_whole_sets(options, keep), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
+    many = wanted.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = wanted.join(many, "root").withColumn("block", F.pmod(F.xxhash64("class", F.lit(11)), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    pairs = placed.select("class", "root", "block", other.alias("other"))
+    pairs = pairs.select("class", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"))
+    counted = pairs.join(sets, "class").select("root", "i", "j", "left", "class", "tokens").groupBy("root", "i", "j").applyInArrow(_block_links(options), "class long, n_links long")
+    return counted.groupBy("class").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JaccardOptions = JaccardOptions(), count_links: bool = True) -> DataFrame:
     """One row per document: id, n_shingles, component_id, class_id, n_links.
 
     Two documents are linked when the Jaccard similarity of their sets of word
     shingles reaches the threshold; component_id is the smallest id that links
-    reach. n_links counts the other different sets found linked to the document's
-    set (0 also where all its links are exact copies); links inside a component
-    that was complete before they were tried aren't counted.
+    reach. n_links counts the other different sets linked to the document's set (0 also
+    where all its links are exact copies), by verifying all pairs of a component in
+    blocks, which takes time with the square of a component's different sets. Without
+    count_links the column is left out.
 
     Equal sets make one class, and only classes are joined. Tokens stand in a
     global order (common ones last, by a sketch of all counts; then by hash), and
@@ -275,14 +318,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = settle(links.unionAll(verified(pairs)).distinct())
         roots = connected_components(links)
 
-    counts = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     classes = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     low = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = classes.join(low, "root").join(counts, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("class").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    full = each.where("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("class").alias("class_id"), "n_links")
-    return full.unionAll(alone)
+    of_class = classes.join(low, "root").select("class", "component_id")
+    alone = each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("class").alias("class_id"))
+    full = each.where("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("class").alias("class_id"))
+    out = full.unionAll(alone)
+    if not count_links:
+        return out
+    counts = _link_counts(docs, roots, options).withColumnRenamed("class", "class_id")
+    return out.join(counts, "class_id", "left").select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JaccardOptions = JaccardOptions()) -> DataFrame:
@@ -290,5 +336,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that repeat an id are one document and stay or go together; rows without an id stay.
     """
-    found = jaccard_classes(docs, id_col, text_col, options).where(f"component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    found = jaccard_classes(docs, id_col, text_col, options, count_links=False).where(f"component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(settle(found), id_col, "left_anti")

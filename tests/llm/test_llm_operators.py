@@ -81,6 +81,20 @@ def test_jaccard_components(docs, empty, texts):
     assert kept == {i for i in sets if root[i] == i}
 
 
+def test_link_counts(spark, monkeypatch):
+    from strandloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(11)
+    words = prose(rng, 150).split()
+    near = [" ".join(w if rng.random() > 0.015 else prose(rng, 1) for w in words) for _ in range(20)]
+    rows = list(enumerate([" ".join(words), *near, near[0], prose(rng, 100), "", None]))
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, WORD.findall(lower(t))) for i, t in rows)}
+    want = {i: sum(4 * len(a & b) >= 3 * len(a | b) for b in set(sets.values()) - {a}) if a else 0 for i, a in sets.items()}
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and sum(want.values()) > 60
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
