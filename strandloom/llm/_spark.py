@@ -21,10 +21,12 @@ BROADCAST_BYTES = 64 << 20
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a temporary one only where it names none (tests, one machine)."""
+    """The checkpoint folder that the session names; a temporary one only where it names none and runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -36,13 +38,21 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a large table: compressed columns in the shared folder, dropped when the program ends."""
+    """Cut the lineage of a large table: compressed columns in the shared folder, dropped by discard() or when the program ends."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/strandloom-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Drops the files of stored tables that nothing needs any more: what was made of them is stored or settled."""
+    for x in tables:
+        _drop(x.sparkSession, x._stored_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
