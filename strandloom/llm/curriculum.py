@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import settle, with_word_count
+from ._spark import settle, store, with_word_count
 
 Schedule = tuple[tuple[float, float], ...]
 
@@ -68,35 +68,47 @@ def source_targets(sizes: DataFrame, options: MixOptions = MixOptions()) -> Data
     return filled.select("src", "source_size", "cls", target.alias("target"))
 
 
-def allocate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", options: MixOptions = MixOptions()) -> DataFrame:
-    """The documents with mix_size, mix_source_size, mix_target, mix_from (words of the source before it),
-    mix_taken (words that the mix takes, repeats counted), mix_class.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep_text: bool) -> DataFrame:
+    """(key, id, source, src, mark, mix_size): each row packed with its size and its place in the order."""
+    kept = [F.col(c) for c in docs.columns if keep_text or c != text_col]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias("key"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    src = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    mark = F.md5(F.coalesce(F.col("id").cast("string"), F.col("text"), F.lit("")))
+    return with_word_count(packed, "text", "mix_size").select("key", "id", "source", src.alias("src"), mark.alias("mark"), "mix_size")
 
-    Documents of a source stand in the order of the MD5 of their id (then id,
-    then size), so the result does not depend on how rows are stored. A source's
+
+def allocate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", options: MixOptions = MixOptions(), keep_text: bool = True) -> DataFrame:
+    """(key, id, mix_size, mix_source_size, mix_target, mix_from, mix_taken, mix_class) of every row: mix_from words of
+    the source come before it, mix_taken are taken, repeats counted.
+
+    key is a struct of all columns of the input, whatever their names; without
+    keep_text it lacks the text, and texts are read once. Documents of a source
+    stand in the order of the MD5 of their id (of the text, where the id is null), then id,
+    then size, so the result does not depend on how rows are stored. A source's
     target is taken from its start, going round again at its end, so the words
     taken of a source are exactly its target rounded down; the last document may be
     taken in part. Running sums go by (source, leading digits of the MD5): one
     small table of sums per part, and a window within each part, so that a source
-    holding most rows is spread like all others. Null and blank texts have size 0
-    and are taken with 0 words; null sources are one source, the last; null ids sort
-    as empty text. Repeated rows count as documents of their own.
+    holding most rows is spread like all others; rows that repeat one id are one part. Null and blank
+    texts have size 0 and are taken with 0 words; null sources are one source, the
+    last. Repeated rows count as documents of their own; very long texts are rows like others.
     """
     n = docs.count()
     digits = max(1, math.ceil(math.log(max(n, 1) / 2000 + 1, 16)))
-    mark = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    named = with_word_count(docs, text_col, "mix_size").withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
-    named = named.withColumn("mix_mark", mark).withColumn("part", F.substring("mix_mark", 1, digits))
-    sums = named.groupBy("src", "part").agg(F.first(F.col(source_col).cast("string")).alias("source"), F.sum("mix_size").alias("size"))
+    named = _sized(docs, id_col, text_col, source_col, keep_text)
+    if not keep_text:
+        named = store(named)
+    named = named.withColumn("part", F.substring("mark", 1, digits))
+    sums = named.groupBy("src", "part").agg(F.first("source").alias("source"), F.sum("mix_size").alias("size"))
     sums = settle(sums)
     targets = source_targets(sums, options)
     before = sums.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = before.join(targets, "src").select("src", "part", "before", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("cls").alias("mix_class"))
-    within = Window.partitionBy("src", "part").orderBy("mix_mark", F.col(id_col), "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "part").orderBy("mark", "id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.join(parts, ["src", "part"]).withColumn("mix_from", F.col("before") + F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
     budget = F.floor("mix_target").cast("long")
     taken = sum((_pass_words(budget, p) for p in range(1, options.most)), _pass_words(budget, 0))
-    return placed.withColumn("mix_taken", taken).drop("src", "part", "before", "mix_mark")
+    return placed.select("key", "id", "mix_size", "mix_source_size", "mix_target", "mix_from", taken.alias("mix_taken"), "mix_class")
 
 
 def _pass_words(budget: Column, p: int) -> Column:
@@ -119,17 +131,28 @@ def with_first_position(allocated: DataFrame, options: MixOptions = MixOptions()
     return allocated.withColumn("mix_position", F.when(F.col("mix_taken") > 0, _position(F.col("mix_from"), options)))
 
 
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """Range-sorted: partitions hold consecutive ranges, each sorted."""
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", options: MixOptions = MixOptions()) -> DataFrame:
     """The mix in training order: the documents' columns, then pass (from 0), words, position.
 
     A row per time that a document is taken. Its position is the time at which the
     integral of its source's schedule, as a part of the whole, reaches the words of
-    the source that come before it; rows are range-sorted by position.
+    the source that come before it; rows are range-sorted by position. Where the
+    documents have a column of one of the three names, the new one gets an underscore after its name.
     """
-    columns = [F.col(c) for c in docs.columns]
     allocated = allocate(docs, id_col, text_col, source_col, options)
     budget = F.floor("mix_target").cast("long")
     passes = F.array(*(F.struct(F.lit(p).alias("pass"), _pass_words(budget, p).alias("words"), _position(F.col("mix_from") + F.lit(p) * F.col("mix_source_size"), options).alias("position")) for p in range(options.most)))
     rows = allocated.where("mix_taken > 0").withColumn("mix_row", F.explode(F.filter(passes, lambda x: x["words"] > 0)))
-    rows = rows.select(*columns, F.col("mix_row.pass").alias("pass"), F.col("mix_row.words").alias("words"), F.col("mix_row.position").alias("position"))
-    return rows.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
+    ordered = in_order(rows.select("key", "id", "mix_row", F.col("mix_row.position").alias("position")), "position", "id")
+    names = {}
+    for name in ("pass", "words", "position"):
+        free = name
+        while free in docs.columns or free in names.values():
+            free += "_"
+        names[name] = free
+    return ordered.select(*(F.col(f"key.`{c}`") for c in docs.columns), *(F.col(f"mix_row.{name}").alias(free) for name, free in names.items()))

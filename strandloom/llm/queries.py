@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ._spark import table
 from .ann_graph import nearest_neighbours
 from .chat import format_chats, read_back
-from .curriculum import allocate, with_first_position
+from .curriculum import allocate, in_order, with_first_position
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_classes
 from .line_dedup import dedup_lines
@@ -74,8 +74,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = with_first_position(allocate(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_position").alias("first_position"))
+    mixed = with_first_position(allocate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False))
+    return in_order(mixed, "mix_position", "id").select("key.doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_position").alias("first_position"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
