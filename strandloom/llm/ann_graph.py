@@ -17,7 +17,8 @@ from ._spark import settle, store
 class GraphOptions:
     """k: neighbours returned; degree: edges kept by pruning; beam: length of the search lists for building
     and searching; relax: factor by which a kept neighbour must be nearer than the point to prune;
-    shard: vectors of a graph; block: queries searched together; step: nodes expanded at once."""
+    shard: vectors of a graph; block: queries packed together; blocks: blocks that share a copy of a graph;
+    step: nodes expanded at once."""
 
     k: int = 10
     degree: int = 32
@@ -26,6 +27,7 @@ class GraphOptions:
     relax: float = 1.2
     shard: int = 8192
     block: int = 1024
+    blocks: int = 16
     step: int = 4
 
 
@@ -35,11 +37,11 @@ class Graph:
     def __init__(self, vectors: np.ndarray, edges: np.ndarray, start: int):
         self.vectors, self.edges, self.start = vectors, edges, start
 
-    def beam_search(self, queries: np.ndarray, beam: int, step: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def beam_search(self, queries: np.ndarray, beam: int, step: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, squared distances) of each query's ``beam`` nearest met, nearest first; -1 where fewer were met."""
-        b, n = len(queries), len(self.vectors) if most is None else most
+        b, n = len(queries), len(self.vectors)
         ids = np.full((b, beam), -1, np.int64)
-        far = np.full((b, beam), np.inf, np.float32)
+        far = np.full((b, beam), np.inf)
         ids[:, 0] = self.start
         far[:, 0] = ((queries - self.vectors[self.start]) ** 2).sum(axis=1)
         opened = np.zeros((b, beam), bool)
@@ -63,7 +65,7 @@ class Graph:
             seen[rows[:, None], near] = True
             seen[:, -1] = False
             r, c = np.nonzero(near >= 0)
-            gap = np.full(near.shape, np.inf, np.float32)
+            gap = np.full(near.shape, np.inf)
             d = queries[rows[r]] - self.vectors[near[r, c]]
             gap[r, c] = np.einsum("ij,ij->i", d, d)
             all_ids = np.concatenate((ids[rows], near), axis=1)
@@ -141,20 +143,26 @@ def build(vectors: np.ndarray, options: GraphOptions = GraphOptions()) -> Graph:
     return graph
 
 
+def _scale(x: np.ndarray) -> float:
+    """A power of two that keeps squares of such vectors finite and above zero."""
+    most = float(np.abs(x).max(initial=0.0))
+    return 2.0 ** -math.frexp(most)[1] if most > 1e150 or 0 < most < 1e-150 else 1.0
+
+
 def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", options: GraphOptions = GraphOptions()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance.
 
     is_query is a condition on the id. Vectors are dealt by a hash of their id to
     shards of a bounded size; each shard is a graph of its own, built in one task
-    and written as one row. Queries go in blocks; each (shard, block) is searched in
-    a task, and the best k of all shards are merged. Scores are computed in double
-    precision on the stored vectors; ties go to the smaller id. Equal vectors of a
+    and written as one row. Queries go in blocks to every shard; a task's group is one graph and a few
+    blocks, so its memory is bounded, and the best k of all shards are merged. Distances are computed in double
+    precision on the stored vectors, scaled by a power of two where squares would overflow; ties go to the smaller id. Equal vectors of a
     shard are one node with all their ids, so copies neither hide each other nor
     cost edges.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take
     no part. Only vectors of the query's length are its candidates. Of rows that repeat
-    an id the least vector counts. A table with one vector gives no rows.
+    an id the least vector counts. A table with one vector gives no rows. Extra columns are ignored.
     """
     ok = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector_col, lambda x: x != 0)
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -172,7 +180,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
         distinct, inverse = np.unique(x, axis=0, return_inverse=True)
         by = np.argsort(inverse, kind="stable")
         ends = np.concatenate(([0], np.cumsum(np.bincount(inverse))))
-        graph = build(distinct.astype(np.float32), options)
+        graph = build(distinct * _scale(distinct), options)
         blobs = [ids[by], ends, distinct, graph.edges.astype(np.int32)]
         return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "start": [graph.start], **{n: [np.ascontiguousarray(b).tobytes()] for n, b in zip(("ids", "ends", "nodes", "edges"), blobs, strict=True)}}, schema=index_schema)
 
@@ -190,24 +198,34 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
     asked = settle(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))).groupBy("dim", "block").applyInArrow(pack, "dim int, block long, asked binary, points binary"))
 
     def search(key, table):
-        row = {c: table.column(c)[0].as_py() for c in table.column_names}
-        dim = row["dim"]
+        dim, out = key[0].as_py(), []
+        held = np.asarray(table.column("asked").is_null())
+        if not held.any() or held.all():
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        row = {c: table.column(c)[int(held.argmax())].as_py() for c in ("start", "ids", "ends", "nodes", "edges")}
         ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
         nodes = np.frombuffer(row["nodes"]).reshape(-1, dim)
-        graph = Graph(nodes.astype(np.float32), np.frombuffer(row["edges"], np.int32).reshape(len(nodes), -1).astype(np.int64), row["start"])
-        queries, points = np.frombuffer(row["asked"], np.int64), np.frombuffer(row["points"]).reshape(-1, dim)
-        out = []
-        for lo in range(0, len(queries), 256):
-            found, _ = graph.beam_search(points[lo : lo + 256].astype(np.float32), options.search_beam, options.step)
-            for q, x, near in zip(queries[lo : lo + 256], points[lo : lo + 256], found, strict=True):
-                near = near[near >= 0]
-                score = np.sqrt(((nodes[near] - x) ** 2).sum(axis=1))
-                # of a node's ids the first k + 1 are enough, one may be the query's own
-                own = [(s, i) for s, v in zip(score, near, strict=True) for i in ids[ends[v] : min(ends[v + 1], ends[v] + options.k + 1)] if i != q]
-                out += [(q, i, s) for s, i in sorted(own)[: options.k]]
+        scale = _scale(nodes)
+        nodes = nodes * scale
+        graph = Graph(nodes, np.frombuffer(row["edges"], np.int32).reshape(len(nodes), -1).astype(np.int64), row["start"])
+        for at in np.flatnonzero(~held).tolist():
+            queries = np.frombuffer(table.column("asked")[at].as_buffer(), np.int64)
+            points = np.frombuffer(table.column("points")[at].as_buffer()).reshape(-1, dim) * scale
+            for lo in range(0, len(queries), 256):
+                found, _ = graph.beam_search(points[lo : lo + 256], options.search_beam, options.step)
+                for q, x, near in zip(queries[lo : lo + 256], points[lo : lo + 256], found, strict=True):
+                    near = near[near >= 0]
+                    score = np.sqrt(((nodes[near] - x) ** 2).sum(axis=1)) / scale
+                    # of a node's ids the first k + 1 are enough, one may be the query's own
+                    own = [(s, i) for s, v in zip(score, near, strict=True) for i in ids[ends[v] : min(ends[v + 1], ends[v] + options.k + 1)] if i != q]
+                    out += [(q, i, s) for s, i in sorted(own)[: options.k]]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    found = graphs.join(asked, "dim").groupBy("dim", "shard", "block").applyInArrow(search, "query_id long, vec_id long, score double")
+    last = (blocks - 1) // options.blocks
+    copies = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    sent = asked.withColumn("part", F.floor(F.col("block") / options.blocks).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    both = copies.unionByName(sent.drop("block"), allowMissingColumns=True).select("dim", "shard", "part", "start", "ids", "ends", "nodes", "edges", "asked", "points")
+    found = both.groupBy("dim", "shard", "part").applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= options.k).select("query_id", "rank", "vec_id", "score")
