@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import store
+from ._spark import settle
 from ._text import LOWER, chunks, word_hashes, words
 
 _KINDS = np.zeros((256, 6), dtype=bool)  # upper, lower, digit, closing mark, other ASCII sign, byte of a wider letter
@@ -129,39 +130,44 @@ def fit(count: np.ndarray, total: np.ndarray, product: np.ndarray, options: Disc
     return Discriminant(means, roots, shift, options.temper)
 
 
-def _measure(batches):
+def _sums(batches):
+    """A task's number, sum and sum of outer products of each class's statistics, from (text, n0, n1)."""
+    size = len(FEATURES)
+    count, total, product = np.zeros(2), np.zeros((2, size)), np.zeros((2, size, size))
     for batch in batches:
-        parts = [statistics(data, bounds) for _, _, data, bounds in chunks(batch.column(1))]
-        if parts:
-            flat = pa.array(np.concatenate(parts).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(flat, len(FEATURES)).cast(pa.list_(pa.float64()))], ["key", "x"])
+        for lo, hi, data, bounds in chunks(batch.column(0)):
+            x = statistics(data, bounds)
+            for k in (0, 1):
+                times = batch.column(1 + k).slice(lo, hi - lo).to_numpy().astype(float)
+                count[k] += times.sum()
+                total[k] += times @ x
+                product[k] += (x * times[:, None]).T @ x
+    if count.any():
+        sums = np.concatenate((count, total.ravel(), product.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % _ADDED], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["part", "sums"])
+
 
+#: Parts in which the tasks' sums are added before the driver gets them.
+_ADDED = 64
 
-def measured(docs: DataFrame, key: Column, text_col: str = "text") -> DataFrame:
-    """(key, x): the statistics of every whole text; null counts as empty."""
-    rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_measure, f"key {rows.schema['key'].dataType.simpleString()}, x array<double>")
+
+def _add(rows: list) -> np.ndarray:
+    """The sum, rounded once, so that the order of the rows doesn't matter."""
+    return np.array([math.fsum(x) for x in np.asarray(rows).T])
 
 
 def train(labelled: DataFrame, options: DiscriminantOptions = DiscriminantOptions()) -> Discriminant:
-    """Fits on (x, label) rows; each task sends its sums, of a fixed size, to the driver."""
+    """Fits on (text, n0, n1) rows, n0 and n1 being how often a text is labelled 0 and 1.
+
+    Each task gives sums of a fixed size, which are added on the executors; the driver gets a fixed number of them.
+    """
     size = len(FEATURES)
 
-    def sums(batches):
-        count, total, product = np.zeros(2), np.zeros((2, size)), np.zeros((2, size, size))
-        for batch in batches:
-            x = np.asarray(batch.column(0).flatten()).reshape(-1, size)
-            y = np.asarray(batch.column(1))
-            for k in (0, 1):
-                part = x[y == k]
-                count[k] += len(part)
-                total[k] += part.sum(axis=0)
-                product[k] += part.T @ part
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((count, total.ravel(), product.ravel())).tolist()], pa.list_(pa.float64()))], ["sums"])
-
-    parts = np.zeros(2 + 2 * size + 2 * size * size)
-    for row in labelled.select("x", F.col("label").cast("int")).mapInArrow(sums, "sums array<double>").toLocalIterator():
-        parts += np.asarray(row["sums"])
+    def add(key, group):
+        return pa.table({"sums": pa.array([_add(group.column("sums").to_pylist()).tolist()], pa.list_(pa.float64()))})
+
+    sums = labelled.mapInArrow(_sums, "part long, sums array<double>").groupBy("part").applyInArrow(add, "sums array<double>").collect()
+    parts = _add([r["sums"] for r in sums]) if sums else np.zeros(2 + 2 * size + 2 * size * size)
     return fit(parts[:2], parts[2 : 2 + 2 * size].reshape(2, size), parts[2 + 2 * size :].reshape(2, size, size), options)
 
 
@@ -170,20 +176,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     held_out is crc32(id as text) mod folds = 0; labels of such ids are not used. The
     score is the probability of quality 1, from statistics of the text alone.
-    Null and empty texts are scored as texts without words; null ids are never
+    Null and empty texts are scored as texts without words, long ones whole; null ids are never
     learned from and held_out is false. Repeated rows each get their row. Of ids
-    labelled twice all rows count; labels other than 0 and 1 don't. At most
-    most_labelled rows are fitted on.
+    labelled twice all rows count; labels other than 0 and 1 don't. About
+    most_labelled labelled ids are fitted on at most. Extra columns of either table are ignored.
     """
-    table = store(measured(docs, F.col(id_col).cast("long"), text_col))
-    model = fitted(table, labels, folds, options)
+    model = fitted(docs, labels, id_col, text_col, folds, options)
 
     def run(batches):
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+            score = np.concatenate([model.score(statistics(data, bounds)) for _, _, data, bounds in chunks(batch.column(1))] or [np.empty(0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
-    scored = table.mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(_held_out("doc_id", folds), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -191,18 +197,23 @@ def _held_out(name: str, folds: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % folds == 0
 
 
-def fitted(table: DataFrame, labels: DataFrame, folds: int = 5, options: DiscriminantOptions = DiscriminantOptions()) -> Discriminant:
-    """The model from measured rows (key, x) and (doc_id, quality) labels of ids that are not held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)").where(~_held_out("key", folds))
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, options: DiscriminantOptions = DiscriminantOptions()) -> Discriminant:
+    """The model from the texts of ids that have a (doc_id, quality) label and are not held out.
+
+    Labels are bounded by most_labelled, so they are broadcast, and only labelled texts are measured.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and key is not null").where(~_held_out("key", folds))
+    known = settle(known.groupBy("key").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")))
     n = known.count()
     if n > options.most_labelled:
         known = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(int(1_000_000 * options.most_labelled / n)))
-    return train(table.join(known, "key").select("x", "label"), options)
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    return train(rows.join(F.broadcast(known), "key").select("text", "n0", "n1"), options)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, options: DiscriminantOptions = DiscriminantOptions(), cut: float = 0.3) -> DataFrame:
-    """The rows whose text scores at least ``cut``: read once to learn and once to filter, without a shuffle of texts."""
-    model = fitted(measured(docs, F.col(id_col).cast("long"), text_col), labels, folds, options)
+    """The rows whose text scores at least ``cut``, with all their columns: the labelled are read to learn, all to filter, without a shuffle of texts."""
+    model = fitted(docs, labels, id_col, text_col, folds, options)
 
     def run(batches):
         for batch in batches:
