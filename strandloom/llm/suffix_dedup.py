@@ -15,21 +15,20 @@ from ._text import chunks, mix, prefix_hash
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFF0000000)
 _LOW = _U(0x000000000FFFFFFF)
-#: Longest piece of a document that is held as arrays at once.
-_PIECE = 1 << 26
 
 
 @dataclass(frozen=True)
 class RepeatOptions:
     """length: bytes of a repeated string, the depth of the order; gram: bytes of the first digit;
     digit: bytes of a later digit; hot: suffixes in a first-digit group that one task may order;
-    salts: parts of a larger group."""
+    salts: parts of a larger group; piece: bytes of a document that are held as arrays at once."""
 
     length: int = 200
     gram: int = 72
     digit: int = 100
     hot: int = 50_000
     salts: int = 64
+    piece: int = 1 << 26
 
 
 def _segments(data: np.ndarray, bounds: np.ndarray, o: RepeatOptions):
@@ -68,11 +67,11 @@ def _segments(data: np.ndarray, bounds: np.ndarray, o: RepeatOptions):
 def _pieces(column: pa.Array, o: RepeatOptions):
     """As chunks(), but a document longer than a piece comes as overlapping pieces: (row, data, bounds, offset)."""
     for lo, _, data, bounds in chunks(column):
-        if len(data) <= _PIECE:
+        if len(data) <= o.piece:
             yield lo, data, bounds, 0
         else:
-            for begin in range(0, len(data) - o.length + 1, _PIECE):
-                part = data[begin : begin + _PIECE + o.length - 1]
+            for begin in range(0, len(data) - o.length + 1, o.piece):
+                part = data[begin : begin + o.piece + o.length - 1]
                 yield lo, part, np.array([0, len(part)]), begin
 
 
@@ -104,15 +103,15 @@ def _fresh(ids: np.ndarray, done: set[int], offset: int) -> np.ndarray:
     return out
 
 
-def _suffix_rows(o: RepeatOptions, wanted, hot):
-    """The suffix runs whose first digit may be shared, with their bytes.
+def _suffix_rows(o: RepeatOptions, wanted):
+    """The suffix runs whose first digit may be shared, with their bytes, and with the salt that tells parts of a large group.
 
     Equal runs met in one chunk are settled there: each is reported as repeated,
     and one of them goes on for others to be compared with.
     """
 
     def run(batches):
-        keep, large = wanted.value, hot.value
+        keep = wanted.value
         done: set[int] = set()
         for batch in batches:
             of = batch.column(0).to_numpy()
@@ -130,18 +129,17 @@ def _suffix_rows(o: RepeatOptions, wanted, hot):
                 twice = count[inverse] > 1
                 sent = np.zeros(len(key), bool)
                 sent[first] = True
-                is_hot = np.isin(key, large) if len(large) else np.zeros(len(key), bool)
-                key = np.where(is_hot, mix(key + whole % _U(o.salts)), key)
+                salt = whole % _U(o.salts)
                 text, base = of[row + doc], offset - bounds[doc]
                 size = np.where(sent, hi - lo + o.length, 0)
                 ends = np.concatenate(([0], np.cumsum(size[sent])))
                 body = data[np.repeat(lo[sent] - ends[:-1], size[sent]) + np.arange(ends[-1])]
                 spans = pa.Array.from_buffers(pa.binary(), int(sent.sum()), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-                names = ["key", "text_id", "lo", "hi", "span", "twice", "hot"]
-                yield pa.RecordBatch.from_arrays([pa.array(key[sent].view(np.int64)), pa.array(text[sent]), pa.array((lo + base)[sent]), pa.array((hi + base)[sent]), spans, pa.array(twice[sent]), pa.array(is_hot[sent])], names)
+                names = ["key", "text_id", "lo", "hi", "span", "twice", "salt"]
+                yield pa.RecordBatch.from_arrays([pa.array(key[sent].view(np.int64)), pa.array(text[sent]), pa.array((lo + base)[sent]), pa.array((hi + base)[sent]), spans, pa.array(twice[sent]), pa.array(salt[sent].astype(np.int64))], names)
                 if twice.any():
                     told = int(twice.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(text[twice].view(np.uint64)).view(np.int64)), pa.array(text[twice]), pa.array((lo + base)[twice]), pa.array((hi + base)[twice]), pa.nulls(told, pa.binary()), pa.array([True] * told), pa.array([False] * told)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(text[twice].view(np.uint64)).view(np.int64)), pa.array(text[twice]), pa.array((lo + base)[twice]), pa.array((hi + base)[twice]), pa.nulls(told, pa.binary()), pa.array([True] * told), pa.array(np.zeros(told, np.int64))], names)
 
     return run
 
@@ -252,13 +250,13 @@ def repeated_starts(texts: DataFrame, options: RepeatOptions = RepeatOptions())
     place = F.struct("text_id", "at")
     groups = digits.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi")
     groups = store(groups.select("key", "n"))
-    size = groups.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
-    # at most 65,536 keys can each hold that part of all rows
-    most = max(options.hot, (size["rows"] or 0) // 65_536)
-    hot = np.array([r["key"] for r in groups.where(F.col("n") > most).select("key").collect()], np.int64).view(np.uint64)
-    keep = spark.sparkContext.broadcast(bloom(groups, "key", size["keys"]))
-    large = spark.sparkContext.broadcast(hot)
-    rows = texts.mapInArrow(_suffix_rows(options, keep, large), "key long, text_id long, lo long, hi long, span binary, twice boolean, hot boolean")
+    size = groups.count()
+    keep = spark.sparkContext.broadcast(bloom(groups, "key", size))
+    rows = texts.mapInArrow(_suffix_rows(options, keep), "key long, text_id long, lo long, hi long, span binary, twice boolean, salt long")
+    # few keys lead large groups, at most one for each ``hot`` rows; Spark broadcasts them if they are small and joins them by key if not
+    large = store(groups.where(F.col("n") > options.hot).select("key", F.lit(True).alias("hot")))
+    rows = rows.join(large, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    rows = rows.withColumn("key", F.when(F.col("hot"), F.xxhash64("key", "salt")).otherwise(F.col("key"))).drop("salt")
     ordered = rows.repartition("key").sortWithinPartitions("key")
     found = store(ordered.mapInArrow(_order_groups(options), "text_id long, lo long, hi long, window long, n long"))
     windows = found.where("window is not null")
@@ -303,7 +301,7 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", options: RepeatOptions
     another; all occurrences go, judged on the input. n_spans counts maximal
     removed runs. Null texts are empty. Texts with an equal in the table (rows
     repeated too) go whole if they have ``length`` bytes; shorter texts stay whole.
-    kept is binary, since a cut may split a character.
+    kept is binary, since a cut may split a character. Texts of any length are searched whole, in overlapping pieces.
     """
     others = [F.col(c) for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
