@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from dataclasses import dataclass
@@ -42,6 +44,7 @@ _DIGITS, _LOWERS, _UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 CLASSES = (
     CharacterClass("hex", frozenset(_DIGITS + "abcdefABCDEF"), 20, 3.0),
     CharacterClass("base32", frozenset(_UPPERS + "234567"), 20, 3.6),
+    CharacterClass("base36", frozenset(_DIGITS + _LOWERS), 20, 3.5),
     CharacterClass("base64", frozenset(_DIGITS + _LOWERS + _UPPERS + "+/_=-"), 20, 3.9),
 )
 
@@ -50,7 +53,7 @@ ALLOWED = (
     re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
     re.compile(r"^[A-Za-z]+$"),
     re.compile(r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$"),
-    re.compile(r"^[a-z0-9]+(?:[-_/][a-z0-9]+){3,}$"),
+    re.compile(r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/](?:[A-Za-z]+|[0-9]{1,4}))+$"),
     re.compile(r"(?i)example|placeholder|changeme|your[-_]"),
     re.compile(r"^(.)\1*$"),
 )
@@ -97,14 +100,16 @@ def is_random(text: str) -> bool:
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all findings, by start, then kind as listed; offsets in code points, end exclusive.
 
-    The base's matches always stay; an entropy finding that overlaps one of them is the same secret and adds nothing.
+    The base's matches always stay; a candidate that one of them covers is the same secret and adds nothing.
     """
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGN]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     base = sorted((s, e) for _, s, e in found)
+    starts, reach = [s for s, _ in base], list(itertools.accumulate((e for _, e in base), max))
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e in base) and is_random(m[0]):
+        before = bisect.bisect_right(starts, m.start())
+        if not (before and reach[before - 1] >= m.end()) and is_random(m[0]):
             found.append(("entropy", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -114,7 +119,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have none. Rows are scanned each on its own, whole, in
     Arrow batches and without a shuffle, so repeated rows each get their result;
-    extra columns are ignored and an empty table gives an empty result.
+    a long text takes time in proportion to its length. Extra columns are ignored, null ids stay,
+    and an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
