@@ -83,7 +83,7 @@ def format_chats(conversations: DataFrame, trained_role: str = "assistant") -> D
     empty. loss_spans are [begin, end) offsets, in code points, of the trained
     role's texts in the formatted string. Rows without conv_id are one
     conversation. Repeated rows are turns of their own. A conversation becomes one
-    string, so its rows meet in one task; extra columns are ignored.
+    string, so its rows meet in one task, whole however long its texts; extra columns are ignored.
     """
     rows = conversations.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import settle, word_array
+from ._spark import store, word_array
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     t = options.min_run
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     texts, rows = rows, rows.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("hs")).where(F.size("hs") >= t)
-    rows = settle(rows.groupBy("row_key", "doc_id").agg(F.first("hs").alias("hs")))
+    rows = store(rows.groupBy("row_key", "doc_id").agg(F.first("hs").alias("hs")))
     n = F.size("hs")
 
     def pick(s):
@@ -47,7 +47,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = marks.join(again, "mark").groupBy("row_key").agg(F.collect_list("at").alias("ats"))
     around = F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(F.greatest(p - t + 1, F.lit(0)), F.least(p, n - t)))))
     windows = rows.join(at, "row_key").select("row_key", "doc_id", "hs", F.explode(around).alias("s"))
-    windows = settle(windows.select("row_key", "doc_id", "s", F.xxhash64(F.slice("hs", F.col("s") + 1, t)).alias("w")))
+    windows = store(windows.select("row_key", "doc_id", "s", F.xxhash64(F.slice("hs", F.col("s") + 1, t)).alias("w")))
     place = F.struct("doc_id", "row_key", "s")
 
     def later(windows: DataFrame, width: int) -> DataFrame:
@@ -69,7 +69,7 @@ def _long_lines(texts: DataFrame, least: int) -> DataFrame:
         return F.when(long, F.struct(s.cast("int").alias("s"), F.xxhash64(line).alias("w")))
 
     lines = texts.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.explode(F.filter(F.transform(F.split("text", "\n"), of), lambda x: x.isNotNull())).alias("x"))
-    return settle(lines.select("row_key", "doc_id", "x.s", "x.w").distinct())
+    return store(lines.select("row_key", "doc_id", "x.s", "x.w").distinct())
 
 
 def _cut(width: int):
@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line number; in the same document too, overlaps counted) goes; n_removed lines
     in n_runs maximal runs. A text of which all lines go becomes empty. Null texts
     stay null with 0 lines. Rows with the same id and text are one document for
-    the search and each keep their row; null ids come first in the order.
+    the search and each keep their row; null ids come first in the order. Texts of any length are taken
+    whole; a task holds one document's lines at a time.
     """
     found = repeated_lines(docs, id_col, text_col, options)
     others = [F.col(c) for c in docs.columns if c != text_col]
