@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Bloom, bloom, store
+from ._keys import Held, columns, decode, dense, encode, key_counts, least_count, pieces, range_bits, sparse, starts
+from ._spark import Bloom, bloom, discard, store
 from ._text import chunks, mix, word_hashes
 
 _U = np.uint64
@@ -24,7 +26,10 @@ HELD_COUNT = 4
 #: The same for strings of the tree: from this count on, at most so many; rarer ones are joined.
 HELD_STRINGS = 1 << 20
 HELD_STRING_COUNT = 32
-_FLUSH = 1 << 21
+#: Strings that a task sorts together before they leave it.
+FLUSH = 1 << 21
+#: Words, and texts, that are scored together: what they need of the joined part goes in one block for each range.
+GROUP_WORDS, GROUP_TEXTS = 1 << 21, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -32,7 +37,7 @@ class TreeOptions:
     """depth: words of the longest context; least: least count of a string (context and next word), at every
     size of the corpus; discount: taken off each kept count for words not kept."""
 
-    depth: int = 2
+    depth: int = 3
     least: int = 8
     discount: float = 0.5
 
@@ -54,15 +59,6 @@ def _join(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(context * _U(0x9E3779B97F4A7C15) + token)
 
 
-def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted keys, whether it is there)."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return at, sorted_keys[at] == keys
-
-
 def _endings(token: np.ndarray, doc: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(for k < size the hashes of the k + 1 words that end at each position, the position's number in its text).
 
@@ -77,48 +73,92 @@ def _endings(token: np.ndarray, doc: np.ndarray, size: int) -> tuple[list[np.nda
     return ends, np.arange(n) - np.searchsorted(doc, doc)
 
 
-def _counted(size: int, frequent_var):
-    """Counts of strings of a context of ``size`` words and a next word, summed over a few million words before
-    they leave the task. A string that is frequent has frequent parts, so others aren't counted."""
+def _words(batch):
+    for _, _, data, bounds in chunks(batch.column(0)):
+        yield _tokens(data, bounds)[0]
 
-    def run(batches):
+
+def _counted(texts: DataFrame, size: int, bits: int, words_var, frequent_var, least: int) -> DataFrame:
+    """(context, token, key, c) of the strings of a context of ``size`` words and a next word with the least count.
+
+    A string that is frequent has frequent parts, so others aren't counted. A task counts a few
+    million strings at a time; what leaves it are blocks of contexts, each with its next words, for
+    each range of contexts, which is merged in one task. A next word that all tasks hold goes as its number.
+    """
+
+    def fill(batches):
         held: list[np.ndarray] = []
         many = 0
+        words = words_var.value
 
         def flush():
-            key, context, token = np.concatenate(held, axis=1)
-            _, first, count = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(token[first].view(np.int64)), pa.array(count)], ["context", "token", "c"])
+            context, token = np.concatenate(held, axis=1)
+            held.clear()
+            order = np.argsort((context & _U(0xFFFFFFFFFF000000)) | (token >> _U(40)))
+            context, token = context[order], token[order]
+            first = np.union1d(starts(context), starts(token))
+            count = np.diff(np.concatenate((first, [len(token)])))
+            context, token = context[first], token[first]
+            number, known = words.find(token)
+            rows = []
+            for is_held in (True, False):
+                pick = np.flatnonzero(known == is_held)
+                of, next_word, times = context[pick], number[pick].astype(np.uint32) if is_held else token[pick], count[pick]
+                for part, lo, hi in pieces((of >> _U(64 - bits)).astype(np.int64)):
+                    run = starts(of[lo:hi])
+                    lengths = np.diff(np.concatenate((run, [hi - lo]))).astype(np.uint32)
+                    coded = next_word[lo:hi].view(np.uint8).reshape(hi - lo, -1)[:, : 3 if is_held else 8]
+                    rows.append((part, is_held, of[lo:hi][run].tobytes(), lengths.tobytes(), coded.tobytes(), sparse(times[lo:hi])))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), *[pa.binary()] * 4), strict=True)], ["part", "held", "contexts", "runs", "tokens", "many"])
 
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0)):
                 token, doc = _tokens(data, bounds)
-                if size:
-                    ends, place = _endings(token, doc, size)
-                    good = frequent_var.value.test(ends[-1])
-                    at = np.flatnonzero(place >= size)
-                    at = at[good[at - 1] & good[at]]
-                    context, token = ends[-1][at - 1], token[at]
-                    held.append(np.stack([_join(context, token), context, token]))
-                else:
-                    held.append(np.stack([token, np.zeros(len(token), np.uint64), token]))
-                many += len(token)
-                if many >= _FLUSH:
+                ends, place = _endings(token, doc, size)
+                good = frequent_var.value.test(ends[-1]) & (place >= size - 1)
+                # the string's last ``size`` words are frequent too
+                at = np.flatnonzero(good[:-1] & good[1:] & (place[1:] >= size)) + 1
+                held.append(np.stack([ends[-1][at - 1], token[at]]))
+                many += len(at)
+                if many >= FLUSH:
                     yield flush()
-                    held, many = [], 0
+                    many = 0
         if many:
             yield flush()
 
-    return run
-
-
-def _keyed(batches):
-    """Adds the hash of each string and that of the string without its first word."""
+    def merge(key, group):
+        names = words_var.value.keys
+        context, token, count = [], [], []
+        for is_held, of, run, next_word, times in zip(*(group.column(c) for c in ("held", "contexts", "runs", "tokens", "many")), strict=True):
+            context.append(np.repeat(np.frombuffer(of.as_buffer(), _U), np.frombuffer(run.as_buffer(), np.uint32)))
+            n = len(context[-1])
+            coded = np.frombuffer(next_word.as_buffer(), np.uint8).reshape(n, -1)
+            if is_held.as_py():
+                number = np.zeros((n, 4), np.uint8)
+                number[:, :3] = coded
+                token.append(names[number.view(np.uint32).ravel()])
+            else:
+                token.append(np.ascontiguousarray(coded).view(_U).ravel())
+            count.append(dense(times.as_buffer(), n))
+        context, token, count = np.concatenate(context), np.concatenate(token), np.concatenate(count)
+        string = _join(context, token)
+        order = np.argsort(string)
+        first = starts(string[order])
+        total = np.add.reduceat(count[order], first)
+        good = total >= least
+        pick = order[first[good]]
+        return pa.table({"context": context[pick].view(np.int64), "token": token[pick].view(np.int64), "key": string[pick].view(np.int64), "c": total[good]})
+
+    return texts.mapInArrow(fill, "part long, held boolean, contexts binary, runs binary, tokens binary, many binary").groupBy("part").applyInArrow(merge, "context long, token long, key long, c long")
+
+
+def _suffixed(batches):
+    """Adds the hash of each string without its first word."""
     for batch in batches:
-        context, token, shorter = (batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("context", "token", "shorter"))
+        token, shorter = (batch.column(x).to_numpy(zero_copy_only=False).view(_U) for x in ("token", "shorter"))
         one = batch.column("one").to_numpy(zero_copy_only=False)
-        key, suffix = _join(context, token), np.where(one, token, _join(shorter, token))
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("context", "token", "c", "total")), pa.array(key.view(np.int64)), pa.array(suffix.view(np.int64))], ["context", "token", "c", "total", "key", "suffix"])
+        suffix = np.where(one, token, _join(shorter, token))
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("context", "token", "c", "total", "key")), pa.array(suffix.view(np.int64))], ["context", "token", "c", "total", "key", "suffix"])
 
 
 def grow(words: DataFrame, level: DataFrame, shorter: DataFrame | None, den: float, n: int, options: TreeOptions) -> tuple[DataFrame, DataFrame]:
@@ -149,52 +189,99 @@ def grow(words: DataFrame, level: DataFrame, shorter: DataFrame | None, den: flo
     return store(level.select("key", "suffix", "c", F.when(F.col("skip").isNotNull(), gain).otherwise(F.col("v")).alias("ratio"), (gain - F.col("skip") - F.col("v")).alias("weight"))), states
 
 
-def _arrays(df: DataFrame, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of bounded number as arrays, in the order of the first column."""
-    table = df.select(*names).toArrow()
-    key, value = table.column(names[0]).to_numpy().astype(np.int64).view(np.uint64), table.column(names[1]).to_numpy()
-    order = np.argsort(key)
-    return key[order], value[order]
+_SCORED = "id long, at long, doc_id long, n_tokens long, base double, known long, adjust double, part long, word boolean, keys binary, texts binary"
+_NAMES = [x.split()[0] for x in _SCORED.split(", ")]
 
 
-def _scores(depth: int, words_var, strings_var, any_var):
-    kinds = ["row_key", "doc_id", "n_tokens", "base", "known", "adjust", "token", "word", "times"]
+def _scores(depth: int, bits: int, unseen: float, words_var, strings_var, any_var):
+    """A row for each text with what the held part says of it, and blocks of the words and strings that have to be joined.
+
+    Texts are numbered within groups; a block has the sorted keys of a group in one range, and each key's text.
+    Words that aren't held count as unseen here.
+    """
 
     def run(batches):
-        (held, logs), (strings, weights, all_held), any_of = words_var.value, strings_var.value, any_var.value
+        words, strings, any_of = words_var.value, strings_var.value, any_var.value
+        group, texts, many = TaskContext.get().partitionId() << 32, 0, 0
+        asked: dict[bool, list[np.ndarray]] = {True: [], False: []}
+
+        def blocks():
+            rows = []
+            for is_word, held in asked.items():
+                key, text = np.concatenate(held, axis=1) if held else np.empty((2, 0), _U)
+                order = np.argsort(key)
+                key, text = key[order], text[order].astype(np.uint16)
+                rows += [(p, is_word, encode(key[lo:hi]), text[lo:hi].tobytes()) for p, lo, hi in pieces((key >> _U(64 - bits)).astype(np.int64))]
+                held.clear()
+            n = len(rows)
+            none, no_float = pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())
+            part, is_word, key, text = zip(*rows, strict=True) if rows else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array([group] * n, pa.int64()), none, none, none, no_float, none, no_float, pa.array(part, pa.int64()), pa.array(is_word, pa.bool_()), pa.array(key, pa.binary()), pa.array(text, pa.binary())], _NAMES)
+
         for batch in batches:
-            for lo, hi, data, bounds in chunks(batch.column(2)):
+            for lo, hi, data, bounds in chunks(batch.column(1)):
                 docs = hi - lo
                 token, doc = _tokens(data, bounds)
-                at, found = _has(held, token)
-                base = np.bincount(doc[found], logs[at[found]], docs)
-                known = np.bincount(doc[found], minlength=docs)
-                rare, of, adjust = [token[~found]], [doc[~found]], np.zeros(docs)
+                if texts and (texts + docs > GROUP_TEXTS or many + len(token) > GROUP_WORDS):
+                    yield blocks()
+                    group, texts, many = group + 1, 0, 0
+                at, found = words.find(token)
+                rare = ~found
+                missing = np.bincount(doc[rare], minlength=docs)
+                base = np.bincount(doc[found], words.values[at[found]], docs) + unseen * missing
+                asked[True].append(np.stack([token[rare], (doc[rare] + texts).astype(_U)]))
+                adjust = np.zeros(docs)
                 ends, place = _endings(token, doc, depth + 1)
                 for k, end in enumerate(ends):
                     inside = np.flatnonzero(any_of.test(end) & (place >= k))
-                    at, found = _has(strings, end[inside])
-                    adjust += np.bincount(doc[inside[found]], weights[at[found]], docs)
-                    if not all_held:
-                        rare.append(end[inside[~found]])
-                        of.append(doc[inside[~found]])
-                keys = batch.column(0).slice(lo, docs)
-                none = pa.nulls(docs, pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, batch.column(1).slice(lo, docs), pa.array(np.bincount(doc, minlength=docs)), pa.array(base), pa.array(known), pa.array(adjust), none, pa.nulls(docs, pa.bool_()), none], kinds)
-                for rare, of, word in ((rare[0], of[0], True), (np.concatenate([rare[0][:0], *rare[1:]]), np.concatenate([of[0][:0], *of[1:]]), False)):
-                    if not len(rare):
-                        continue
-                    order = np.lexsort((rare, of))
-                    rare, of = rare[order], of[order]
-                    first = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1]))))
-                    times = np.diff(np.concatenate((first, [len(rare)])))
-                    m = len(first)
-                    ints, floats = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(of[first])), ints, ints, floats, ints, floats, pa.array(rare[first].view(np.int64)), pa.array(np.full(m, word)), pa.array(times)], kinds)
+                    at, found = strings.find(end[inside])
+                    adjust += np.bincount(doc[inside[found]], strings.values[at[found]], docs)
+                    rest = inside[~found]
+                    asked[False].append(np.stack([end[rest], (doc[rest] + texts).astype(_U)]))
+                size = np.bincount(doc, minlength=docs)
+                none = pa.nulls(docs, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(docs, group)), pa.array(np.arange(texts, texts + docs)), batch.column(0).slice(lo, docs), pa.array(size), pa.array(base), pa.array(size - missing), pa.array(adjust), pa.nulls(docs, pa.int64()), pa.nulls(docs, pa.bool_()), none, none], _NAMES)
+                texts, many = texts + docs, many + len(token)
+        yield blocks()
 
     return run
 
 
+def _answers(key, asked, model):
+    """What the words and strings of one range add to the texts of each group that asks for them."""
+    order = np.argsort(model.column("key").to_numpy().view(_U))
+    keys = model.column("key").to_numpy().view(_U)[order]
+    more, seen, weight = (model.column(c).to_numpy()[order] for c in ("more", "seen", "weight"))
+    rows = []
+    for group, is_word, block, of in zip(*(asked.column(c) for c in ("id", "word", "keys", "texts")), strict=True):
+        want, text = decode(block.as_buffer()), np.frombuffer(of.as_buffer(), np.uint16).astype(np.int64)
+        at = np.searchsorted(keys, want)
+        found = at < len(keys)
+        found[found] = keys[at[found]] == want[found]
+        at, text = at[found], text[found]
+        if not len(at):
+            continue
+        hit = np.flatnonzero(np.bincount(text))
+        is_word = is_word.as_py()
+        base, shift = (np.bincount(text, x[at])[hit] if use else np.zeros(len(hit)) for x, use in ((more, is_word), (weight, not is_word)))
+        known = np.bincount(text, seen[at])[hit] if is_word else np.zeros(len(hit))
+        rows.append((group.as_py(), hit.astype(np.uint16).tobytes(), np.stack([base, known, shift]).tobytes()))
+    group, hit, sums = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"id": pa.array(group, pa.int64()), "texts": pa.array(hit, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+
+def _summed(key, table, answers):
+    """The texts of a group with all answers added."""
+    total = np.zeros((3, GROUP_TEXTS))
+    # in a fixed order, so that sums of floats agree between runs
+    for hit, sums in sorted(zip(answers.column("texts").to_pylist(), answers.column("sums").to_pylist(), strict=True)):
+        total[:, np.frombuffer(hit, np.uint16)] += np.frombuffer(sums).reshape(3, -1)
+    at = table.column("at").to_numpy()
+    base, known, adjust = (table.column(c).to_numpy() for c in ("base", "known", "adjust"))
+    base = base + total[0][at]
+    return pa.table({"doc_id": table.column("doc_id"), "n_tokens": table.column("n_tokens"), "n_known": known + total[1][at].astype(np.int64), "base_score": base, "score": base + adjust + total[2][at]})
+
+
 def _filter(df: DataFrame, column: str) -> Bloom:
     return bloom(df, column, df.count())
 
@@ -212,57 +299,45 @@ def tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and strings' weights are held by all tasks (HELD_COUNT and HELD_STRING_COUNT at least, HELD_WORDS and
     HELD_STRINGS at most); rarer words and strings of a text are joined with theirs and summed.
 
-    Null and empty texts have the end as their only token. Null ids are held out
-    never and learned from. Repeated rows are learned from each time and each get
-    a row. With no training token base_score uses N = V = 0.
+    Null and empty texts have the end as their only token; texts of any length are taken whole.
+    Null ids are held out never and learned from. Repeated rows are learned from each time and each get
+    a row. Extra columns are ignored. With no training token base_score uses N = V = 0.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     training = rows.where(~held_out).select("text")
-    share = spark.sparkContext.broadcast
-    kind = "context long, token long, c long"
-    words = store(training.mapInArrow(_counted(0, None), kind).groupBy("token").agg(F.sum("c").alias("c")))
+    share, bits = spark.sparkContext.broadcast, range_bits(rows)
+    words = store(key_counts(training, _words, bits))
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = size["n"], size["v"]
     den = n + 0.1 * (v + 1)
-    frequent = words.where(F.col("c") >= options.least)
+    common = max(HELD_COUNT, least_count(words, HELD_WORDS))
+    token, c = columns(words.where(F.col("c") >= common), "key", "c")
+    held_words = share(Held(token, np.log10((c + 0.1) / den)))
+    frequent = words.where(F.col("c") >= options.least).select(F.col("key").alias("token"), "c")
     before, shorter, tree = frequent.select(F.col("token").alias("key"), "c", F.lit(0).cast("long").alias("suffix")), None, []
     for k in range(options.depth):
-        counted = training.mapInArrow(_counted(k + 1, share(_filter(before, "key"))), kind).groupBy("context", "token").agg(F.sum("c").alias("c")).where(F.col("c") >= options.least)
+        counted = _counted(training, k + 1, bits, held_words, share(_filter(before, "key")), options.least)
         level = counted.join(before.select(F.col("key").alias("context"), F.col("c").alias("total"), F.col("suffix").alias("shorter")), "context").withColumn("one", F.lit(k == 0))
-        level = store(level.mapInArrow(_keyed, "context long, token long, c long, total long, key long, suffix long"))
+        level = store(level.mapInArrow(_suffixed, "context long, token long, c long, total long, key long, suffix long"))
         shorter, states = grow(frequent, level, shorter, den, n, options)
+        discard(level)
         tree += [shorter.where("weight is not null").select("key", "c", "weight"), states]
         before = shorter
     strings = functools.reduce(DataFrame.unionAll, tree, spark.createDataFrame([], "key long, c long, weight double"))
     strings = store(strings.groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight")))
 
-    common = max(HELD_COUNT, _least_count(words, HELD_WORDS))
-    token, c = _arrays(words.where(F.col("c") >= common), ("token", "c"))
-    often = max(HELD_STRING_COUNT, _least_count(strings, HELD_STRINGS))
-    few = strings.where(F.col("c") < often)
-    held = (*_arrays(strings.where(F.col("c") >= often), ("key", "weight")), few.isEmpty())
-    out = rows.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
-    kinds = "row_key long, doc_id long, n_tokens long, base double, known long, adjust double, token long, word boolean, times long"
-    scored = store(out.mapInArrow(_scores(options.depth, share((token, np.log10((c + 0.1) / den))), share(held), share(_filter(strings, "key"))), kinds))
-    of = words.where(F.col("c") < common).select("token", F.lit(True).alias("word"), "c", F.lit(0.0).alias("weight"))
-    of = of.unionAll(few.select(F.col("key").alias("token"), F.lit(False).alias("word"), F.lit(0).cast("long").alias("c"), "weight"))
-    rare = scored.where("times is not null").select("row_key", "token", "word", "times").distinct().join(of, ["token", "word"], "left")
-    log = F.when(F.col("word"), F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(den))).otherwise(F.lit(0.0))
-    rare = rare.groupBy("row_key").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("shift"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("also"))
-    whole = scored.where("times is null").join(rare, "row_key", "left")
-    base: Column = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return whole.select("doc_id", held_out.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("adjust") + F.coalesce("shift", F.lit(0.0))).alias("score"))
-
-
-def _least_count(words: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` words reach."""
-    steps = words.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()
-    total, least = 0, 1 << 62
-    for row in steps:
-        total += row["n"]
-        if total > most:
-            break
-        least = row["c"]
-    return least
+    often = max(HELD_STRING_COUNT, least_count(strings, HELD_STRINGS))
+    held_strings = share(Held(*columns(strings.where(F.col("c") >= often), "key", "weight")))
+    unseen = math.log10(0.1 / den)
+    scored = store(rows.mapInArrow(_scores(options.depth, bits, unseen, held_words, held_strings, share(_filter(strings, "key"))), _SCORED))
+    part = F.shiftrightunsigned("key", 64 - bits).alias("part")
+    zero: Column = F.lit(0.0)
+    model = words.where(F.col("c") < common).select("key", part, (F.log10((F.col("c") + 0.1) / F.lit(den)) - F.lit(unseen)).alias("more"), F.lit(1.0).alias("seen"), zero.alias("weight"))
+    model = model.unionAll(strings.where(F.col("c") < often).select("key", part, zero, zero, "weight")).groupBy("key", "part").agg(*(F.sum(x).alias(x) for x in ("more", "seen", "weight")))
+    asked = scored.where("part is not null").select("part", "id", "word", "keys", "texts")
+    answers = asked.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(_answers, "id long, texts binary, sums binary")
+    whole = scored.where("at is not null").select("id", "at", "doc_id", "n_tokens", "base", "known", "adjust")
+    out = whole.groupBy("id").cogroup(answers.groupBy("id")).applyInArrow(_summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
