@@ -88,7 +88,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     pairs = settle(candidates(rows, shingles, options))
     held = pairs.select("d").distinct()
     few = rows.join(_small(held.select(F.col("d.row_key").alias("k")), held.count() * 32), F.col("d.row_key") == F.col("k"), "left_semi")
+    hashes = shingles.select(F.col("h").alias("own_h")).distinct()
     own = _shingled(few, "d", "text", options.width).select(F.col("d.row_key").alias("k"), F.col("h").alias("own_h"), F.col("shingle").alias("own"))
+    own = own.join(_small(hashes, hashes.count() * 24), "own_h", "left_semi")
     whole = shingles.select(F.col("item_id").alias("i"), "n_item", "h", "shingle")
     want = pairs.join(whole, F.col("item_id").eqNullSafe(F.col("i"))).select("d", "item_id", "n_item", "h", "shingle")
     found = want.join(own, (F.col("d.row_key") == F.col("k")) & (F.col("h") == F.col("own_h")) & (F.col("own") == F.col("shingle"))).groupBy("d", "item_id", "n_item", "h", "shingle").agg(F.lit(1).alias("one"))
