@@ -65,6 +65,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches, rows: int = 256):
+    """Batches of fewer rows, so that what is made of their texts is small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def lowered(text):
     """A-Z in lower case; other letters stay."""
     return F.translate(text, UPPER, LOWER)

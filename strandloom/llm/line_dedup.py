@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import store, word_array
+from ._spark import slices, store, word_array
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def _long_lines(texts: DataFrame, least: int) -> DataFrame:
 
 def _cut(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, starts, lone = batch.column("text"), batch.column("starts"), batch.column("lone")
             kept, lines, gone, runs = [], [], [], []
             for text, *found in zip(texts, starts, lone, strict=True):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bloom, settle, store
+from ._spark import bloom, settle, slices, store
 from ._text import chunks, mix, prefix_hash
 
 _U = np.uint64
@@ -268,7 +268,7 @@ def repeated_starts(texts: DataFrame, options: RepeatOptions = RepeatOptions())
 
 def _cut(o: RepeatOptions):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, ranges, copied = (batch.column(c) for c in ("text", "ranges", "copied"))
             size, gone, spans, kept = [], [], [], []
             for text, at, copy in zip(texts, ranges, copied, strict=True):
