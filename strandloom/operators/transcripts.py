@@ -15,7 +15,7 @@ def numbered_exons(exons: DataFrame) -> DataFrame:
     return exons.withColumn("ex", F.row_number().over(of) - 1).withColumn("len_before", F.coalesce(before, F.lit(0)))
 
 
-def project(blocks: DataFrame, exons: DataFrame, bin_size: int = 1 << 12) -> DataFrame:
+def project(blocks: DataFrame, exons: DataFrame, bin_size: int | None = None) -> DataFrame:
     """(read_id, transcript, t_start, t_end) of alignments that are concordant with a transcript.
 
     blocks has (read_id, chr, start, end), exons (chr, start, end, transcript). Every
@@ -35,12 +35,41 @@ def project(blocks: DataFrame, exons: DataFrame, bin_size: int = 1 << 12) -> Dat
     return whole.where("_k = _n and _m = _n").select("read_id", "transcript", "t_start", "t_end")
 
 
-def concordance(blocks: DataFrame, exons: DataFrame, bin_size: int = 1 << 12) -> DataFrame:
+def concordance(blocks: DataFrame, exons: DataFrame, bin_size: int | None = None) -> DataFrame:
     """(read_id, transcript, kind) of alignments within a transcript's extent: "exonic" as project(), "intronic" without an exonic base, else "spanning"."""
     extent = exons.groupBy("chr", "transcript").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     read = blocks.groupBy("read_id", "chr").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    within = overlap_join(read, extent, ["chr"], 1 << 16, how="within").select("read_id", "transcript")
+    within = overlap_join(read, extent, ["chr"], how="within").select("read_id", "transcript")
     touched = overlap_join(blocks.select("read_id", "chr", "start", "end"), exons.select("chr", "start", "end", "transcript"), ["chr"], bin_size).select("read_id", "transcript").distinct().withColumn("_t", F.lit(True))
     exact = project(blocks, exons, bin_size).select("read_id", "transcript").withColumn("_x", F.lit(True))
     joined = within.join(touched, ["read_id", "transcript"], "left").join(exact, ["read_id", "transcript"], "left")
     return joined.select("read_id", "transcript", F.when(F.col("_x"), "exonic").when(F.col("_t"), "spanning").otherwise("intronic").alias("kind"))
+
+
+def flank_concordance(alignments: DataFrame, exons: DataFrame, flank: int = 6, intron_max: int = 1_000_000) -> DataFrame:
+    """(read_id, transcript, gene, kind) of alignments within a transcript, judged with tolerance at exon ends.
+
+    alignments has (read_id, chr, blocks), blocks an ordered array of (start, end) cut at junctions only; exons (chr, start,
+    end, transcript, gene). Ends that reach over a boundary by ``flank`` bases or less don't count, nor do blocks of ``flank`` bases or less.
+    kind is 1 exonic, 2 intronic, 4 both but no block across a boundary, 8 with such a block. Spliced alignments that touch
+    an intron, and any within an intron longer than intron_max, have no row. Native: exons come as one array per transcript.
+    """
+    models = exons.groupBy("chr", "transcript", "gene").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("exons"))
+    models = models.withColumn("start", F.col("exons")[0]["start"]).withColumn("end", F.element_at("exons", -1)["end"])
+    spans = alignments.withColumn("start", F.col("blocks")[0]["start"]).withColumn("end", F.element_at("blocks", -1)["end"])
+    pairs = overlap_join(spans, models, ["chr"], how="within")
+
+    def judge(b):
+        k = F.size(F.filter("exons", lambda e: e["start"] <= b["start"]))
+        here, after = F.col("exons")[k - 1], F.get(F.col("exons"), k)
+        begin, last = b["start"] + flank, b["end"] - 1
+        crosses = F.when(last >= after["start"] + flank, 8).when(last > here["end"] - 1 + flank, F.when(after["start"] - here["end"] + 1 > intron_max, 16).otherwise(2)).otherwise(0)
+        behind = F.when(last > after["end"] - 1 + flank, 8).when(last >= after["start"] + flank, 1).otherwise(0)
+        inner = F.when(last - b["start"] < flank, 0).when(begin < here["end"], F.when(last <= here["end"] - 1 + flank, 1).otherwise(8)).when(begin < after["start"], crosses).otherwise(behind)
+        return F.when(k == F.size("exons"), 1).otherwise(inner)
+
+    judged = pairs.withColumn("_k", F.aggregate(F.transform("blocks", judge), F.lit(0), lambda acc, x: acc.bitwiseOR(x)))
+    has = lambda bit: F.col("_k").bitwiseAND(bit) > 0
+    spliced = F.size("blocks") > 1
+    kind = F.when(has(16) | (spliced & (has(2) | has(8))), None).when(has(8), 8).when(~has(2), 1).when(has(1), 4).otherwise(2)
+    return judged.select("read_id", "transcript", "gene", kind.alias("kind")).where("kind is not null")
