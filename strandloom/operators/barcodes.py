@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import neighbours
+from ..functions.sequence import encode, neighbours, unknown_position
 from ..options import BarcodeMatch
 
 
@@ -52,13 +54,71 @@ def best_match(candidates: DataFrame, priors: DataFrame, options: BarcodeMatch =
     return ranked.where((F.col("_r") == 1) & (F.col("posterior") >= options.min_posterior)).select(read, "match", "posterior")
 
 
-def edited_whitelist(barcodes: DataFrame, bases: int, code: str = "code", most: int = 2) -> DataFrame:
-    """(edited, match, distance): strings within ``most`` mismatches that have one nearest barcode, computed once per whitelist."""
+def unknown_base(reads: DataFrame, barcodes: DataFrame, bases: int, read: str = "read_id", seq: str = "cb", many: bool = False) -> DataFrame:
+    """(read, match, kind, base): barcodes that a sequence with one N can stand for; kind 2, base the place of the N.
+
+    Reads whose N fits several barcodes are left out unless ``many``. Sequences without N or with more than one have no rows.
+    """
+    at = unknown_position(F.col(seq))
+    one = reads.where(at >= 0).select(read, seq, at.alias("base"))
+    filled = one.withColumn("match", F.explode(F.transform(F.array(*(F.lit(c) for c in "ACGT")), lambda c: encode(F.replace(F.col(seq), F.lit("N"), c)))))
+    hit = filled.join(barcodes.select(F.col("code").alias("match")), "match").select(read, "match", F.lit(2).alias("kind"), "base")
+    return hit if many else hit.withColumn("_k", F.count("*").over(Window.partitionBy(read))).where("_k = 1").drop("_k")
+
+
+#: Ways of matching barcodes (fixed values): what is tried, and whether several candidates are weighed against each other.
+MATCH_MODES = ("Exact", "1MM", "1MM_multi", "1MM_multi_pseudocounts", "1MM_multi_Nbase_pseudocounts", "EditDist_2")
+
+
+def match(reads: DataFrame, barcodes: DataFrame, bases: int, mode: str = "1MM_multi", options: BarcodeMatch = BarcodeMatch()) -> DataFrame:
+    """(read_id, match) of reads (read_id, cb, qual) in a whitelist (code), in one of MATCH_MODES.
+
+    A read's barcode is matched exactly first; only without such a match by one mismatch, or one N in the place of a base. Where
+    several candidates may be weighed, the one with most of prior times error probability wins if its share is large enough.
+    """
+    if mode not in MATCH_MODES:
+        raise ValueError(f"mode must be one of {', '.join(MATCH_MODES)}")
+    coded = reads.select("read_id", "cb", "qual", encode(F.col("cb")).alias("code"))
+    known = barcodes.select("code").distinct()
+    if mode == "EditDist_2":
+        near = edited_whitelist(known, bases, indels=True)
+        return coded.join(near, F.col("code") == F.col("edited")).select("read_id", "match")
+    whole = coded.where("code is not null")
+    if mode == "Exact":
+        return whole.join(known, "code").select("read_id", F.col("code").alias("match"))
+    many = mode != "1MM"
+    found = one_mismatch(whole.select("read_id", "code"), known, bases)
+    found = found.unionByName(unknown_base(coded, known, bases, many="Nbase" in mode))
+    if not many:
+        alone = F.count("*").over(Window.partitionBy("read_id"))
+        found = found.withColumn("_k", alone).where("_k = 1").drop("_k")
+    pseudo = 1 if "pseudocounts" in mode else 0
+    exact = exact_counts(whole.select("read_id", "code"), known)
+    weighed = found.join(coded.select("read_id", "qual"), "read_id").withColumn("quality", F.ascii(F.substring("qual", F.col("base") + 1, F.lit(1))))
+    return best_match(weighed, exact, replace(options, pseudocount=pseudo)).select("read_id", "match")
+
+
+def _moved(code: Column, bases: int) -> Column:
+    """The codes with one base dropped at any place and another put in at any place."""
+    low = lambda k: (1 << (2 * k)) - 1
+    dropped = [F.shiftleft(F.shiftright(code, 2 * d + 2), 2 * d).bitwiseOR(code.bitwiseAND(F.lit(low(d)).cast("long"))) for d in range(bases)]
+    put = [F.shiftleft(F.shiftright(x, 2 * i), 2 * i + 2).bitwiseOR(x.bitwiseAND(F.lit(low(i)).cast("long"))) for x in dropped for i in range(bases)]
+    places = F.array(*(F.struct(x.alias("x"), F.lit(2 * i).alias("at")) for x, i in zip(put, [i for _ in range(bases) for i in range(bases)], strict=True)))
+    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(*(p["x"].bitwiseOR(F.lit(b).cast("long") * F.pow(F.lit(2.0), p["at"]).cast("long")) for b in range(4))))))
+
+
+def edited_whitelist(barcodes: DataFrame, bases: int, code: str = "code", most: int = 2, indels: bool = False) -> DataFrame:
+    """(edited, match, distance): strings within ``most`` mismatches that have one nearest barcode, computed once per whitelist.
+
+    With indels, one base lost and another gained count as distance two.
+    """
     level = barcodes.select(F.col(code).alias("edited"), F.col(code).alias("match"), F.lit(0).alias("distance"))
     whole = level
     for d in range(1, most + 1):
         level = level.select(F.explode(neighbours(F.col("edited"), bases)).alias("edited"), "match").distinct().withColumn("distance", F.lit(d))
         whole = whole.unionByName(level)
+    if indels and most >= 2:
+        whole = whole.unionByName(barcodes.select(F.explode(_moved(F.col(code), bases)).alias("edited"), F.col(code).alias("match"), F.lit(2).alias("distance")))
     w = Window.partitionBy("edited")
     nearest = whole.groupBy("edited", "match").agg(F.min("distance").alias("distance")).withColumn("_low", F.min("distance").over(w)).where("distance = _low")
     return nearest.withColumn("_k", F.count("*").over(w)).where("_k = 1").select("edited", "match", "distance")

@@ -97,24 +97,35 @@ def good_turing(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks_between(cells: DataFrame, low: int, high: int) -> DataFrame:
+    """The cells of ranks low (excluded) to high by falling n, then cb; only cells tied with a bound are ranked among each other."""
+    hist = cells.groupBy("n").agg(F.count("*").alias("_c"))
+    over = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(over), F.lit(0))).where((F.col("_before") < high) & (F.col("_before") + F.col("_c") > low))
+    near = cells.join(F.broadcast(hist), "n")
+    whole = (F.col("_before") >= low) & (F.col("_before") + F.col("_c") <= high)
+    tied = near.where(~whole).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("n").orderBy("cb"))).where((F.col("_r") > low) & (F.col("_r") <= high))
+    return near.where(whole).select(*cells.columns).unionByName(tied.select(*cells.columns))
+
+
 def empty_drops(counts: DataFrame, options: EmptyDrops = EmptyDrops(), knee_options: KneeFilter = KneeFilter()) -> DataFrame:
     """(cb, n, n_genes, p_adjusted): knee cells, and candidates that differ from the ambient profile.
 
     Ambient genes come from the cells in the given ranks; each candidate's multinomial
-    log probability is compared with simulated cells of its total. The simulation is
-    seeded, so reruns agree; its random numbers are not those of other programs.
+    log probability is compared with simulated cells of its total. A simulation draws one
+    cell up to the largest total and is scored at all totals on the way; simulations are dealt to tasks, and each gives a
+    count per candidate. At most candidates_max cells are tested, the largest (a parameter of the method). The simulation is
+    seeded by its number, so reruns agree; its random numbers are not those of other programs.
     """
     spark = counts.sparkSession
     cells = totals(counts)
     called = knee(cells, knee_options)
-    ranked = cells.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "cb")))
-    ambient_cells = ranked.where((F.col("_r") > options.ambient_from) & (F.col("_r") <= options.ambient_to)).select("cb")
-    profile = counts.join(ambient_cells, "cb").groupBy("gene").agg(F.sum("n_umis").alias("c")).toPandas()
+    profile = counts.join(_ranks_between(cells, options.ambient_from, options.ambient_to).select("cb"), "cb").groupBy("gene").agg(F.sum("n_umis").alias("c")).toPandas()
     floor = nth_value(called, "n", F.expr("n_rows div 2")).first()["nth"] or 0
     least = max(options.umi_min, int(options.umi_min_over_median * floor))
-    tried = ranked.join(called.select("cb"), "cb", "left_anti").where(F.col("n") >= least).orderBy(F.desc("n"), "cb").limit(options.candidates_max)
     if profile.empty:
         return called.withColumn("p_adjusted", F.lit(None).cast("double"))
+    tried = _ranks_between(cells.join(called.select("cb"), "cb", "left_anti").where(F.col("n") >= least), 0, options.candidates_max)
     genes = counts.select("gene").distinct().count()
     p = good_turing(profile["c"].to_numpy().astype(np.int64))
     unseen = max(1.0 - p.sum(), 1e-12) / max(genes - len(p), 1)
@@ -124,23 +135,40 @@ def empty_drops(counts: DataFrame, options: EmptyDrops = EmptyDrops(), knee_opti
     scored = counts.join(tried.select("cb", "n", "n_genes"), "cb").join(F.broadcast(table), "gene", "left").groupBy("cb", "n", "n_genes").agg(F.sum(F.col("n_umis") * lp - log_factorial).alias("score"))
     weights = np.concatenate((p, np.full(max(genes - len(p), 0), unseen)))
     weights /= weights.sum()
-    logs = np.log(np.maximum(weights, 1e-300))
+    asked = scored.toPandas()  # candidates_max rows at most
+    if asked.empty:
+        return called.withColumn("p_adjusted", F.lit(None).cast("double"))
+    shared = spark.sparkContext.broadcast((np.cumsum(weights), np.log(np.maximum(weights, 1e-300)), asked["n"].to_numpy().astype(np.int64), asked["score"].to_numpy()))
 
-    def test(frames):
+    def simulate(frames):
+        edges, logs, at, score = shared.value
+        below, size = np.zeros(len(at), np.int64), int(at.max())
         for frame in frames:
-            out = []
-            for n, group in frame.groupby("n"):
-                rng = np.random.default_rng([options.seed, int(n)])
-                draws = np.zeros(options.simulations)
-                for i in range(options.simulations):
-                    g, k = np.unique(rng.choice(len(weights), int(n), p=weights), return_counts=True)
-                    draws[i] = (k * logs[g]).sum() - sum(math.lgamma(x + 1) for x in k)
-                below = np.searchsorted(np.sort(draws), group["score"].to_numpy(), side="left")
-                out.append(group.assign(p=(1.0 + below) / (options.simulations + 1.0)))
-            if out:
-                yield pd.concat(out)[["cb", "n", "n_genes", "p"]]
-
-    kinds = dict(scored.dtypes)
-    tested = scored.repartition("n").mapInPandas(test, f"cb {kinds['cb']}, n {kinds['n']}, n_genes {kinds['n_genes']}, p double")
+            for i in frame["id"]:
+                gene = np.minimum(np.searchsorted(edges, np.random.default_rng([options.seed, int(i)]).random(size), side="right"), len(logs) - 1)
+                order = np.argsort(gene, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], gene[order][1:] != gene[order][:-1])))
+                nth = np.empty(size, np.int64)
+                nth[order] = np.arange(size) - np.repeat(first, np.diff(np.concatenate((first, [size])))) + 1
+                below += np.cumsum(logs[gene] - np.log(nth))[at - 1] < score
+        yield pd.DataFrame({"i": np.arange(len(at)), "below": below})
+
+    counted = spark.range(options.simulations).mapInPandas(simulate, "i long, below long").groupBy("i").agg(F.sum("below").alias("below"))
+    numbered = spark.createDataFrame(asked[["cb", "n", "n_genes"]].assign(i=np.arange(len(asked))))
+    tested = numbered.join(counted, "i").select(*(F.col(c).cast(k).alias(c) for c, k in dict(scored.dtypes).items() if c != "score"), ((F.lit(1.0) + F.col("below")) / (options.simulations + 1.0)).alias("p"))
     passed = benjamini_hochberg(tested).where(F.col("p_adjusted") <= options.fdr).drop("p")
     return called.withColumn("p_adjusted", F.lit(None).cast("double")).unionByName(passed)
+
+
+#: Ways of calling cells (fixed values).
+CELL_FILTERS = ("None", "TopCells", "CellRanger2.2", "EmptyDrops_CR")
+
+
+def call_cells(counts: DataFrame, method: str = "CellRanger2.2", top: int = 3000, knee_options: KneeFilter = KneeFilter(), drops: EmptyDrops = EmptyDrops()) -> DataFrame:
+    """(cb, n, n_genes) of the cells that a method calls from (cb, gene, n_umis)."""
+    if method not in CELL_FILTERS:
+        raise ValueError(f"method must be one of {', '.join(CELL_FILTERS)}")
+    if method == "EmptyDrops_CR":
+        return empty_drops(counts, drops, knee_options).drop("p_adjusted")
+    cells = totals(counts)
+    return {"None": lambda: cells, "TopCells": lambda: top_cells(cells, top), "CellRanger2.2": lambda: knee(cells, knee_options)}[method]()
