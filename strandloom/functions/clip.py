@@ -42,11 +42,11 @@ def adapter_start(seq: Column, adapter: str, mismatch_part: float = 0.1) -> Colu
 
 
 def mate_overlap(left: Column, right_reversed: Column, mismatch_part: float = 0.01) -> Column:
-    """Where the reverse complement of mate 2 begins in mate 1; unknown bases count as mismatches."""
+    """Where the reverse complement of mate 2 begins in mate 1; unknown bases count as mismatches; null without a mate."""
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_search(_codes(x), _codes(y), mismatch_part, True) for x, y in zip(a, b, strict=True)], dtype="int32")
+        return pd.Series([None if x is None or y is None else _search(_codes(x), _codes(y), mismatch_part, True) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
     return run(left, right_reversed)
 

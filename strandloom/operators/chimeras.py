@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cigar import reference_length
+
 
 @dataclass(frozen=True)
 class ChimeraOptions:
@@ -40,3 +42,34 @@ def segment_pairs(segments: DataFrame, options: ChimeraOptions = ChimeraOptions(
 def candidates(reads: DataFrame, options: ChimeraOptions = ChimeraOptions()) -> DataFrame:
     """Reads whose best alignment leaves room for a chimera: score at most the read length less the drop."""
     return reads.where(F.col("score") <= F.col("l_read") - options.nonchimeric_drop)
+
+
+def best_and_next(segments: DataFrame, separation: int = 10, intron_max: int = 1_000_000) -> DataFrame:
+    """(read_id, i, j, chim_score): the main segment with its best partner, if the next partner scores less by the separation.
+
+    segments has (read_id, idx, r_start, r_end, score, main, chr, strand, g_start). A partner lies on another chromosome or strand, or farther than intron_max.
+    """
+    main = segments.where("main").select("read_id", *(F.col(c).alias(f"{c}_m") for c in ("idx", "r_start", "r_end", "score", "chr", "strand", "g_start")))
+    far = (F.col("chr") != F.col("chr_m")) | (F.col("strand") != F.col("strand_m")) | (F.abs(F.col("g_start") - F.col("g_start_m")) > intron_max)
+    overlap = F.greatest(F.least("r_end", "r_end_m") - F.greatest("r_start", "r_start_m"), F.lit(0))
+    pairs = segments.where("not main").join(main, "read_id").withColumn("chim_score", F.col("score") + F.col("score_m") - overlap)
+    w = Window.partitionBy("read_id").orderBy(F.desc("chim_score"), "idx")
+    ranked = pairs.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("chim_score").over(w)).withColumn("_far", far)
+    first = ranked.where("_r = 1 and _far").where(F.col("_next").isNull() | (F.col("chim_score") - F.col("_next") > separation))
+    return first.select("read_id", F.col("idx_m").alias("i"), F.col("idx").alias("j"), "chim_score")
+
+
+def junction_rows(pairs: DataFrame) -> DataFrame:
+    """(value): the fourteen columns of a chimeric junction table, tab-separated, of rows that have them under their names."""
+    names = ("chr_donor", "first_donor", "strand_donor", "chr_acceptor", "first_acceptor", "strand_acceptor", "motif", "repeat_left", "repeat_right", "name", "start_1", "cigar_1", "start_2", "cigar_2")
+    return pairs.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in names)).alias("value"))
+
+
+def circular(junctions: DataFrame, least_reads: int = 1, span_max: int = 100_000) -> DataFrame:
+    """(chr, start, end, strand, n_reads) of back-splices: donor behind acceptor on one chromosome and strand, canonical, within span_max, both segments inside."""
+    plus = F.col("strand_donor") == "+"
+    low = F.when(plus, F.col("first_acceptor")).otherwise(F.col("first_donor"))
+    high = F.when(plus, F.col("first_donor")).otherwise(F.col("first_acceptor"))
+    kept = junctions.where((F.col("chr_donor") == F.col("chr_acceptor")) & (F.col("strand_donor") == F.col("strand_acceptor")) & (F.col("motif") > 0) & (low < high) & (high - low < span_max))
+    inside = kept.where((F.least("start_1", "start_2") > low) & (F.greatest(F.col("start_1") + reference_length(F.col("cigar_1")), F.col("start_2") + reference_length(F.col("cigar_2"))) <= high))
+    return inside.groupBy(F.col("chr_donor").alias("chr"), low.alias("start"), high.alias("end"), F.col("strand_donor").alias("strand")).agg(F.countDistinct("name").alias("n_reads")).where(F.col("n_reads") >= least_reads)

@@ -50,19 +50,23 @@ def count_filter(junctions: DataFrame, options: JunctionFilter = JunctionFilter(
     return junctions.where((F.col("annot") > 0) | (counted & over & short))
 
 
-def distance_filter(junctions: DataFrame, options: JunctionFilter = JunctionFilter()) -> DataFrame:
+def distance_filter(junctions: DataFrame, options: JunctionFilter = JunctionFilter(), tile: int = 1 << 20) -> DataFrame:
     """Novel junctions whose donor and acceptor keep the distance of their motif class to the nearest other's.
 
-    Neighbours are all junctions given, annotated ones too. Windows go by
-    chromosome: junctions are distinct positions, so a task holds one chromosome's.
+    Neighbours are all junctions given, annotated ones too. Only distances below the largest asked for matter, so
+    windows go by tiles of positions, and a position that close to a tile's edge stands in the next tile as well: one
+    shuffle each for donors and acceptors, and no chromosome is one task.
     """
+    most = max(*options.distance_min, 1)
 
-    def nearest(name: str) -> Column:
-        w = Window.partitionBy("chr").orderBy(name, "start", "end")
-        far = F.lit(2**62)
-        return F.least(F.coalesce(F.col(name) - F.lag(name).over(w), far), F.coalesce(F.lead(name).over(w) - F.col(name), far))
+    def nearest(rows: DataFrame, name: str, out: str) -> DataFrame:
+        at = F.array_distinct(F.array(*(F.expr(f"({name} + {d}) div {tile}") for d in (0, -most, most))))
+        tiled = rows.withColumn("_tile", F.explode(at))
+        w = Window.partitionBy("chr", "_tile").orderBy(name, "start", "end")
+        gap = F.least(F.coalesce(F.col(name) - F.lag(name).over(w), F.lit(most)), F.coalesce(F.lead(name).over(w) - F.col(name), F.lit(most)))
+        return tiled.withColumn(out, gap).where(F.col("_tile") == F.expr(f"{name} div {tile}")).drop("_tile")
 
-    marked = junctions.withColumn("_donor", nearest("start")).withColumn("_acceptor", nearest("end"))
+    marked = nearest(nearest(junctions, "start", "_donor"), "end", "_acceptor")
     keep = (F.col("annot") > 0) | ((F.col("_donor") >= _at(options.distance_min)) & (F.col("_acceptor") >= _at(options.distance_min)))
     return marked.where(keep).drop("_donor", "_acceptor")
 

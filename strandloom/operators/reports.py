@@ -59,3 +59,66 @@ def smart_seq_counts(fragments: DataFrame) -> DataFrame:
 def read_flags(reads: DataFrame, flags: list[str]) -> DataFrame:
     """(cb, one count per flag): how many of a barcode's reads have each boolean set."""
     return reads.groupBy("cb").agg(*(F.count_if(F.col(f)).alias(f) for f in flags))
+
+
+def junctions_from_sam(rows: DataFrame) -> DataFrame:
+    """(chr, start, end, n_uniq, n_multi): introns of alignments (read_id, chr, pos, cigar, nh); each counts once per read."""
+    each = rows.select("read_id", "chr", "nh", F.explode(introns(F.col("pos"), F.col("cigar"))).alias("j"))
+    once = each.groupBy("read_id", "chr", F.col("j.start").alias("start"), F.col("j.end").alias("end")).agg(F.max("nh").alias("nh"))
+    return once.groupBy("chr", "start", "end").agg(F.count_if(F.col("nh") == 1).alias("n_uniq"), F.count_if(F.col("nh") > 1).alias("n_multi"))
+
+
+def matrix_from_tags(alignments: DataFrame) -> DataFrame:
+    """(cb, gene, n_umis) of alignments with tags (cb, umi, gene); "-" and null are no value."""
+    given = [F.col(c).isNotNull() & ~F.col(c).cast("string").isin("-", "") for c in ("cb", "umi", "gene")]
+    return alignments.where(given[0] & given[1] & given[2]).groupBy("cb", "gene").agg(F.countDistinct("umi").alias("n_umis"))
+
+
+def insert_sizes(pairs: DataFrame, most: int = 2000) -> DataFrame:
+    """(size, n) of proper pairs (start, end) of unique fragments, up to a size."""
+    size = F.col("end") - F.col("start")
+    return pairs.where(size.between(1, most)).groupBy(size.alias("size")).agg(F.count("*").alias("n"))
+
+
+def gene_body_coverage(bases: DataFrame, parts: int = 100) -> DataFrame:
+    """(part, weight): covered transcript positions (transcript, position, length) by hundredths of the length; each transcript weighs 1."""
+    of = Window.partitionBy("transcript")
+    placed = bases.withColumn("part", F.expr(f"position * {parts} div length")).withColumn("_n", F.count("*").over(of))
+    return placed.groupBy("part").agg(F.sum(F.lit(1.0) / F.col("_n")).alias("weight"))
+
+
+def merge_logs(logs: DataFrame, samples: list[str]) -> DataFrame:
+    """(label, one column per sample) of (sample, label, value)."""
+    return logs.groupBy("label").pivot("sample", samples).agg(F.first("value"))
+
+
+def strand_tags(alignments: DataFrame, first_is_reverse: bool = True) -> DataFrame:
+    """Adds xs, the transcript's strand by a stranded protocol, from the flag."""
+    flag = F.col("flag")
+    turned = (flag.bitwiseAND(16) > 0) != (flag.bitwiseAND(128) > 0)
+    return alignments.withColumn("xs", F.when(turned == F.lit(first_is_reverse), "+").otherwise("-"))
+
+
+def shifted_contigs(features: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Features on contigs moved to the super-contig (contig, super, offset) that holds them; others stay."""
+    joined = features.join(contigs.withColumnRenamed("contig", "chr"), "chr", "left")
+    offset = F.coalesce("offset", F.lit(0))
+    moved = {"chr": F.coalesce("super", "chr"), "start": F.col("start") + offset, "end": F.col("end") + offset}
+    return joined.select(*(moved.get(c, F.col(c)).alias(c) for c in features.columns))
+
+
+def barcode_quality(reads: DataFrame, least: int = 30, phred: int = 33) -> DataFrame:
+    """(q30_barcode, q30_read): the part of bases with at least that quality, of (cb_qual, qual)."""
+
+    def good(name):
+        high = "".join(chr(c) for c in range(phred + least, 127))
+        return F.length(name) - F.length(F.translate(name, high, ""))
+
+    return reads.agg(*((F.sum(good(c)) / F.sum(F.length(c))).alias(n) for n, c in (("q30_barcode", "cb_qual"), ("q30_read", "qual"))))
+
+
+def junction_feature_counts(observed: DataFrame, junctions: DataFrame) -> DataFrame:
+    """(cb, junction, n_reads, n_umis): each junction of the table as a feature, counted over uniquely mapped reads (cb, umi, chr, start, end, nh)."""
+    numbered = junctions.select("chr", "start", "end", F.concat_ws(":", "chr", "start", "end").alias("junction"))
+    hit = observed.where("nh = 1").join(numbered, ["chr", "start", "end"])
+    return hit.groupBy("cb", "junction").agg(F.count("*").alias("n_reads"), F.countDistinct("umi").alias("n_umis"))

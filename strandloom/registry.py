@@ -430,14 +430,16 @@ def matrix_compare(spark, sf_dir):
     return reports.compare_matrices(a, b).select("n", F.round("mard", 6).alias("mard"), F.round("r2", 6).alias("r2"))
 
 
-@query("""with r as (select l_suppkey cb, l_orderkey % 1024 umi, l_orderkey read, l_partkey % 20 gene, 1::bigint << (l_linenumber % 3)::int kind from lineitem),
-  p as (select cb, umi, gene, count(distinct read) k, bit_or(kind) kinds from r group by all), n as (select cb, umi, count(distinct read) n from r group by all),
-  o as (select *, count(*) over (partition by cb, umi) g from p join n using (cb, umi) where k = n)
-  select cb, gene, count(*) filter (where kinds = 1) spliced, count(*) filter (where kinds & 4 > 0 or kinds = 2) unspliced, count(*) filter (where not (kinds = 1 or kinds & 4 > 0 or kinds = 2)) ambiguous from o where g = 1 group by all""")
+@query("""with r as (select l_orderkey % 50 cb, (l_orderkey // 50) % 500 umi, l_orderkey read, l_partkey % 6 tr, (l_partkey % 6) // 2 gene, l_linenumber % 4 k from lineitem),
+  f as (select distinct cb, umi, read, tr, gene, unnest(case k when 0 then ['e'] when 1 then ['i'] when 2 then ['m'] else ['s', 'e', 'i'] end) f from r), n as (select cb, umi, count(distinct read) n from r group by all),
+  t as (select cb, umi, tr, gene, count(distinct read) k, bool_or(f = 'e') e, bool_or(f = 'i') i, bool_or(f = 'm') m, bool_or(f = 's') s from f group by all),
+  g as (select cb, umi, min(gene) gene, bool_or(e and not i and not m) ex, bool_or(i and not m and not e) ir, bool_or(((i and e) or m) and not s) mx, bool_and(s) sp from t join n using (cb, umi) where k = n group by cb, umi having min(gene) = max(gene)),
+  c as (select *, ex and not ir and not mx spl, sp or ((ir or mx) and not ex) uns from g)
+  select cb, gene, count(*) filter (where spl) spliced, count(*) filter (where not spl and uns) unspliced, count(*) filter (where not spl and not uns) ambiguous from c group by all""")
 def velocyto_counts(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    kind = F.expr("shiftleft(1L, cast(l_linenumber % 3 as int))")
-    return quant.velocyto(li.select(F.col("l_suppkey").alias("cb"), (F.col("l_orderkey") % 1024).alias("umi"), F.col("l_orderkey").alias("read"), (F.col("l_partkey") % 20).alias("gene"), kind.alias("kind")))
+    transcript = F.col("l_partkey") % 6
+    return quant.velocyto(li.select((F.col("l_orderkey") % 50).alias("cb"), (F.floor(F.col("l_orderkey") / 50) % 500).alias("umi"), F.col("l_orderkey").alias("read"), transcript.alias("transcript"), F.expr("(l_partkey % 6) div 2").alias("gene"), F.expr("shiftleft(1, cast(l_linenumber % 4 as int))").alias("kind")))
 
 
 @query("""with b as (select distinct (s_suppkey * 37) % 65536 code from supplier), d as (select unnest(range(0, 8)) i), v as (select unnest([1, 2, 3]) x),
@@ -523,3 +525,6 @@ def transcript_projection(spark, sf_dir):
 @query(f"""select distinct {_READ} read_id, l_partkey transcript, case when l_linenumber % 5 in (0, 1) then 'exonic' when l_linenumber % 5 = 4 or (l_linenumber % 5 = 3 and l_suppkey % 40 >= 20) then 'intronic' else 'spanning' end kind from lineitem""")
 def transcript_concordance(spark, sf_dir):
     return transcripts.concordance(*px.spliced(spark, sf_dir))
+
+
+from . import registry_reads  # noqa: E402, F401  registers its queries

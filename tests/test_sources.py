@@ -62,9 +62,19 @@ def test_sinks(spark, tmp_path):
     assert [r["value"] for r in sinks.gene_count_rows(counts, 7).collect()] == ["N_unmapped\t7\t7\t7", "N_multimapping\t0\t0\t0", "N_noFeature\t0\t0\t0", "N_ambiguous\t4\t0\t0", "g\t1\t2\t3"]
     runs = spark.createDataFrame([("c", 0, 5, 1.5)], "chr string, start long, end long, value double")
     assert sinks.bedgraph_rows(runs).first()["value"] == "c\t0\t5\t1.50000"
-    m = spark.createDataFrame([(1, 1, 2), (3, 1, 1)], "gene long, cb long, n_umis long")
-    sinks.write_matrix(m, 3, str(tmp_path / "mtx"))
-    assert {r["value"] for r in spark.read.text(str(tmp_path / "mtx/header")).collect()} >= {"3 1 2"}
+    m = spark.createDataFrame([("gA", "AAAC", 2), ("gC", "AAAC", 1), ("gC", "TTTT", 5)], "gene string, cb string, n_umis long")
+    genes = spark.createDataFrame([(g, g.lower(), "Gene Expression") for g in ("gC", "gA", "gB")], "gene_id string, name string, type string")
+    cells = spark.createDataFrame([("TTTT",), ("AAAC",), ("CCCC",)], "cb string")
+    sinks.write_matrix(m, str(tmp_path / "mtx"), genes, cells)
+
+    def lines(name):
+        folder = tmp_path / "mtx" / name
+        return [x for part in sorted(folder.glob("part-*")) for x in part.read_text().splitlines()]
+
+    assert lines("matrix.mtx") == ["%%MatrixMarket matrix coordinate integer general", "%", "3 3 3", "1 1 2", "3 1 1", "3 3 5"]
+    assert lines("features.tsv") == ["gA\tga\tGene Expression", "gB\tgb\tGene Expression", "gC\tgc\tGene Expression"] and lines("barcodes.tsv") == ["AAAC", "CCCC", "TTTT"]
+    assert sinks.gtf_rows(spark.createDataFrame([("c", None, "exon", 0, 9, None, "+", None, 'gene_id "g";')], "chr string, source string, feature string, start long, end long, score double, strand string, frame string, attributes string")).first()["value"] == 'c\t.\texon\t1\t9\t.\t+\t.\tgene_id "g";'
+    assert sinks.wiggle_rows(runs).first()["value"] == "variableStep chrom=c span=5\n1 1.50000"
 
 
 def test_stream_equals_batch(spark, tmp_path):
