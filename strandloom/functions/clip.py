@@ -85,3 +85,43 @@ def repeat_shifts(before_left: Column, before_right: Column, after_left: Column,
         return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), state, step, lambda acc: acc["n"])).otherwise(0)
 
     return common(F.reverse(before_left), F.reverse(before_right)), common(after_left, after_right)
+
+
+#: The first bases of a read in which the oligo is looked for (fixed value).
+OLIGO_BASES = 91
+
+
+def oligo_length(seq: Column, oligo: str) -> Column:
+    """Bases to clip where a template-switching oligo overlaps the read's start.
+
+    The best overlap alignment within the first bases: a match 1, a mismatch or a gap's base -2, ends free on both sides. It is clipped up
+    to its end if it scores 22, or 21 ending within 30 bases, or 20 within 26. All reads of a batch are aligned together, a row of the
+    oligo at a time; a row's gaps along the read are a running maximum.
+    """
+    y = _codes(oligo)
+
+    @F.pandas_udf("int")
+    def run(reads: pd.Series) -> pd.Series:
+        known = reads.notna()
+        x = np.full((int(known.sum()), OLIGO_BASES), 4, np.uint8)
+        for i, r in enumerate(reads[known]):
+            codes = _codes(r[:OLIGO_BASES])
+            x[i, : len(codes)] = codes
+        slope = 2 * np.arange(OLIGO_BASES + 1)
+        row = np.zeros((len(x), OLIGO_BASES + 1), np.int32)
+        side = row[:, -1].copy()  # the read's end may fall within the oligo
+        for base in y:
+            sign = np.where((x == base) & (base < 4), 1, np.where((x == 4) & (base == 4), 0, -2))
+            new = np.zeros_like(row)
+            new[:, 1:] = np.maximum(row[:, :-1] + sign, row[:, 1:] - 2)
+            row = np.maximum.accumulate(new + slope, axis=1) - slope
+            side = np.maximum(side, row[:, -1])
+        end, score = row.argmax(axis=1), row.max(axis=1)
+        end = np.where(side > score, OLIGO_BASES, end)
+        score = np.maximum(score, side)
+        good = (score >= 22) | ((score == 21) & (end <= 30)) | ((score == 20) & (end <= 26))
+        out = pd.Series([None] * len(reads), dtype="Int32", index=reads.index)
+        out[known] = np.where(good, end, 0)
+        return out
+
+    return run(seq)

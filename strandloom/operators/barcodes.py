@@ -158,3 +158,30 @@ def split_index(cells: DataFrame, sizes: list[int], columns: list[str]) -> DataF
 def by_barcode(records: DataFrame, partitions: int, column: str = "cb") -> DataFrame:
     """Records dealt by barcode and ordered within each part."""
     return records.repartition(partitions, column).sortWithinPartitions(column)
+
+
+#: Kinds of single-cell reads (fixed values).
+READ_KINDS = ("CB_UMI_Simple", "CB_UMI_Complex", "CB_samTagOut", "SmartSeq")
+
+
+def cell_and_umi(reads: DataFrame, kind: str = "CB_UMI_Simple", cb: tuple[tuple[int, int], ...] = ((0, 16),), umi: tuple[int, int] | None = (16, 10), anchor: str | None = None) -> DataFrame:
+    """Adds cb, cb_qual, umi and umi_qual to reads (seq, qual) by a kind of READ_KINDS.
+
+    cb holds the start and length of each part of the barcode, joined by "_" if there are several (Complex), from
+    an anchor's position if one is named. SmartSeq reads take the cell from their read_group and have no UMI.
+    """
+    if kind not in READ_KINDS:
+        raise ValueError(f"kind must be one of {', '.join(READ_KINDS)}")
+    if kind == "SmartSeq":
+        none = F.lit(None).cast("string")
+        return reads.withColumn("cb", F.col("read_group")).withColumn("cb_qual", none).withColumn("umi", none).withColumn("umi_qual", none)
+    if kind != "CB_UMI_Complex" and len(cb) != 1:
+        raise ValueError("only a complex barcode has several parts")
+    out, names = reads, []
+    for i, (start, length) in enumerate(cb):
+        out = extract(out, start, length, f"_cb{i}", anchor=anchor)
+        names.append(f"_cb{i}")
+    whole = F.forall(F.array(*names), lambda x: x.isNotNull())
+    out = out.withColumn("cb", F.when(whole, F.concat_ws("_", *names))).withColumn("cb_qual", F.when(whole, F.concat_ws("_", *(f"{n}_qual" for n in names))))
+    out = out.drop(*names, *(f"{n}_qual" for n in names))
+    return extract(out, *umi, "umi", anchor=anchor) if umi else out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,13 @@ def from_exons(exons: DataFrame) -> DataFrame:
     w = Window.partitionBy("transcript").orderBy("start", "end")
     gaps = exons.withColumn("_prev", F.lag("end").over(w)).where("_prev is not null and start > _prev")
     return gaps.groupBy("chr", F.col("_prev").alias("i_start"), F.col("start").alias("i_end"), "strand").agg(F.sort_array(F.collect_set("gene")).alias("genes")).withColumnsRenamed({"i_start": "start", "i_end": "end"})
+
+
+#: Priorities of sources of junctions (fixed values).
+PRIORITIES = {"novel": 0, "file": 10, "gtf": 20, "saved": 30}
+
+
+def union_sources(**sources: DataFrame) -> DataFrame:
+    """One row per junction of the named sources (keys of PRIORITIES), each (chr, start, end, strand, motif, shift)."""
+    parts = [rows.select(*KEY, "strand", "motif", "shift").withColumn("priority", F.lit(PRIORITIES[name])) for name, rows in sources.items()]
+    return resolve(functools.reduce(DataFrame.unionByName, parts))

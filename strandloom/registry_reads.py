@@ -9,9 +9,9 @@ from .functions import cigar, clip, sequence
 from .operators import alignments as al
 from .operators import barcodes as bc
 from .operators import junctions as sj
-from .operators import cells, chimeras, mapping, quant, reports, scoring, transcripts, umi
+from .operators import cells, chimeras, genomes, mapping, quant, reports, scoring, transcripts, umi
 from .options import EmptyDrops
-from .registry import _SJ, query
+from .registry import _SJ, _pairs, query
 from .sources import sinks
 
 
@@ -347,3 +347,69 @@ def signal_scales(spark, sf_dir):
 def cells_empty_drops(spark, sf_dir):
     counts = umi.count_exact(umi.molecules(px.solo(spark, sf_dir))).select("cb", "gene", "n_umis")
     return cells.call_cells(counts, "EmptyDrops_CR", drops=EmptyDrops(ambient_from=20, ambient_to=60, umi_min=1, simulations=500))
+
+
+# --- genomes, two passes, sources of junctions -----------------------------------------------------------------------
+
+
+def _letters(spark, chromosomes: int, parts: int):
+    """Chromosomes of letters that MD5 digests spell."""
+    letters = F.translate(F.md5(F.concat(F.col("c").cast("string"), F.lit("-"), F.col("i").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    each = spark.range(chromosomes).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i")).select("c", F.struct("i", letters.alias("s")).alias("p"))
+    return each.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["s"]), "").alias("seq")).select(F.concat(F.lit("c"), F.col("c")).alias("chr"), "seq")
+
+
+_GENOME = "g as (select 'c' || c chr, string_agg(translate(md5(c::varchar || '-' || i::varchar), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' order by i) seq from (select unnest(range(0, 5)) c), (select unnest(range(0, 32)) i) group by c)"
+
+
+@query(f"""with {_GENOME}, n as (select distinct 'c' || (n_nationkey % 5) chr, 100 + n_nationkey * 30 pos from nation), v as (select n.chr, pos, substr(seq, pos + 1, 1 + pos % 3) ref, substr('ACGTACGT', 1 + pos % 4, 1 + pos % 4) alt from n join g using (chr)),
+  p as (select *, coalesce(lag(pos + len(ref)) over (partition by chr order by pos), 0) b from v)
+  select g.chr || '_x' chr, string_agg(substr(seq, b + 1, pos - b) || alt, '' order by pos) || substr(any_value(seq), max(pos + len(ref)) + 1) seq from p join g using (chr) group by g.chr""")
+def genome_with_variants(spark, sf_dir):
+    genome = _letters(spark, 5, 32)
+    pos = 100 + F.col("n_nationkey") * 30
+    rows = _t(spark, sf_dir, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey") % 5).alias("chr"), pos.alias("pos")).join(genome, "chr")
+    variants = rows.select("chr", "pos", F.substring("seq", F.col("pos") + 1, 1 + F.col("pos") % 3).alias("ref"), F.substring(F.lit("ACGTACGT"), 1 + F.col("pos") % 4, 1 + F.col("pos") % 4).alias("alt"))
+    return genomes.with_variants(genome, variants, "_x")[0]
+
+
+@query("""with a as (select concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity::int) read_id, l_quantity::int n, l_partkey % 50 s, (l_suppkey % 4)::int k, l_linenumber % 2 ann from lineitem)
+  select read_id from a where not (k < 3 and ann = 0 and (s + n) % 3 <> 0)""")
+def alignments_in_table(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    n, s, k = F.col("l_quantity").cast("int"), F.col("l_partkey") % 50, (F.col("l_suppkey") % 4).cast("int")
+    block = lambda g, m: F.struct(F.lit(0).alias("r"), g.cast("long").alias("g"), m.cast("int").alias("len"))
+    gap = F.struct(F.when(k == 3, -1).otherwise(k).alias("kind"), F.lit(500).cast("long").alias("len"), (F.col("l_linenumber") % 2).cast("int").alias("annot"))
+    rows = li.select(F.concat_ws(":", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", n.cast("string")).alias("read_id"), F.lit(0).alias("align_idx"), F.lit("c").alias("chr"), F.array(block(s, n), block(s + n + 500, n)).alias("blocks"), F.array(gap).alias("gaps"))
+    table = spark.range(0, 300, 3).select(F.lit("c").alias("chr"), F.col("id").alias("start"), (F.col("id") + 500).alias("end"))
+    return mapping.in_table(rows, table).select("read_id")
+
+
+@query("""with u as (select p_partkey % 97 s, p_size % 3 motif, (p_partkey % 5)::int shift, (p_partkey % 3)::int strand, case p_size % 4 when 0 then 0 when 1 then 10 when 2 then 20 else 30 end priority from part),
+  r as (select *, row_number() over (partition by s order by priority desc, (motif > 0)::int desc, shift, strand) k from u) select 'c' chr, s as start, s + 50 as "end", priority, (motif > 0)::int canonical, shift, strand from r where k = 1""")
+def junction_sources(spark, sf_dir):
+    part, s = _t(spark, sf_dir, "part"), F.col("p_partkey") % 97
+    rows = part.select(F.col("p_size"), F.lit("c").alias("chr"), s.alias("start"), (s + 50).alias("end"), (F.col("p_size") % 3).alias("motif"), (F.col("p_partkey") % 5).cast("int").alias("shift"), (F.col("p_partkey") % 3).cast("int").alias("strand"))
+    found = sj.union_sources(**{name: rows.where(F.col("p_size") % 4 == i) for i, name in enumerate(("novel", "file", "gtf", "saved"))})
+    return found.select("chr", "start", "end", "priority", (F.col("motif") > 0).cast("int").alias("canonical"), "shift", "strand")
+
+
+@query("select o_orderkey id, case when len(o_clerk_) >= 8 then substr(o_clerk_, 1, 3) || '_' || substr(o_clerk_, 6, 3) end cb, case when len(o_clerk_) >= 5 then substr(o_clerk_, 4, 2) end umi from (select o_orderkey, substr(o_orderpriority, 1, 3 + (o_orderkey % 10)::int) o_clerk_ from orders)")
+def barcode_parts(spark, sf_dir):
+    seq = F.substring("o_orderpriority", F.lit(1), (3 + F.col("o_orderkey") % 10).cast("int"))
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), seq.alias("seq"), seq.alias("qual"))
+    return bc.cell_and_umi(rows, "CB_UMI_Complex", ((0, 3), (5, 3)), (3, 2)).select("id", "cb", "umi")
+
+
+@query("select p_partkey id, (case when p_size % 5 = 4 then 0 else 30 - 3 * (p_size % 5) end)::int clip from part")
+def oligo_clips(spark, sf_dir):
+    oligo = "AAGCAGTGGTATCAACGCAGAGTACATGGG"
+    lost = F.when(F.col("p_size") % 5 == 4, 30).otherwise(3 * (F.col("p_size") % 5))
+    read = F.concat(F.substring(F.lit(oligo), (lost + 1).cast("int"), F.lit(30)), F.repeat(F.lit("CCTT"), 12))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), clip.oligo_length(read, oligo).alias("clip"))
+
+
+@query("""with p as (select l_suppkey % 5 chr, l_partkey % 50 x, max(l_quantity)::int score, l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber as name, 1 + l_orderkey % 5 % 2 nh from lineitem group by l_orderkey, l_partkey, l_suppkey, l_linenumber)
+  select name, nh = 1 and row_number() over (partition by chr, x, nh = 1 order by score desc, name) > 1 duplicate from p""")
+def duplicate_marks_unique(spark, sf_dir):
+    return al.mark_duplicates(_pairs(spark, sf_dir), multi=False).select("name", "duplicate")

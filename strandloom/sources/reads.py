@@ -34,7 +34,7 @@ def fastq(spark: SparkSession, path, limit: int | None = None) -> DataFrame:
 
 def fasta(spark: SparkSession, path, quality: str = "A") -> DataFrame:
     """(file, ordinal, name, seq, qual) of records whose sequence may span lines."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "").withColumn("file", F.col("_metadata.file_path")).withColumn("_id", F.monotonically_increasing_id())
+    records = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", "")).where(F.trim("value") != "").withColumn("file", F.col("_metadata.file_path")).withColumn("_id", F.monotonically_increasing_id())
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     w = Window.partitionBy("file").orderBy("_id")
     return records.select("file", (F.row_number().over(w) - 1).try_cast("long").alias("ordinal"), F.regexp_extract("value", r"^(\S+)", 1).alias("name"), seq.alias("seq")).withColumn("qual", F.repeat(F.lit(quality), F.length("seq")))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.mapping import tiles as cut_tiles
 from .reads import _lines, fasta
 
 
 def genome(spark: SparkSession, path, tile: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(chromosomes (chr, length), tiles (chr, tile, seq)): upper-case sequence in pieces of ``tile`` bases."""
     seqs = fasta(spark, path).select(F.col("name").alias("chr"), F.upper("seq").alias("seq"))
-    tiles = seqs.select("chr", "seq", F.explode(F.sequence(F.lit(0), F.expr(f"greatest(length(seq) - 1, 0) div {tile}"))).alias("tile"))
-    return seqs.select("chr", F.length("seq").try_cast("long").alias("length")), tiles.select("chr", F.col("tile").try_cast("long").alias("tile"), F.substring("seq", F.expr(f"cast(tile * {tile} + 1 as int)"), F.lit(tile)).alias("seq"))
+    cut = cut_tiles(seqs, tile, 0).select("chr", "tile", F.col("tile_seq").alias("seq"))
+    return seqs.select("chr", F.length("seq").cast("long").alias("length")), cut
 
 
 def gtf(spark: SparkSession, path, feature: str = "exon", prefix: str = "", transcript_tag: str = "transcript_id", gene_tags: tuple[str, ...] = ("gene_id",), name_tags: tuple[str, ...] = ("gene_name",), type_tags: tuple[str, ...] = ("gene_type", "gene_biotype")) -> DataFrame:
