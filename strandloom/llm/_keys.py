@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 _U = np.uint64
 #: Keys that a task sorts together before they leave it.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Bytes of text for each range of keys; a range is merged in one task.
 RANGE_BYTES = 1 << 23
 

@@ -27,7 +27,7 @@ HELD_COUNT = 4
 HELD_STRINGS = 1 << 20
 HELD_STRING_COUNT = 32
 #: Strings that a task sorts together before they leave it.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Words, and texts, that are scored together: what they need of the joined part goes in one block for each range.
 GROUP_WORDS, GROUP_TEXTS = 1 << 21, 1 << 15
 
