@@ -421,12 +421,12 @@ def chimeric_pairs(spark, sf_dir):
     return chimeras.segment_pairs(_segments(spark, sf_dir))
 
 
-@query(f"""with {_CR}, a as (select cb, gene, count(*)::double v from mols group by all), b as (select cb, gene, count(distinct corrected)::double v from cr where gene % 3 > 0 group by all),
+@query(f"""with {_CR}, a as (select cb, gene, count(*)::double v from mols group by all), b as (select cb, gene, count(distinct corrected)::double v from cr group by all),
   f as (select coalesce(a.v, 0) a, coalesce(b.v, 0) b from a full join b using (cb, gene)) select count(*) n, round(avg(abs(a - b) / (a + b)), 6) mard, round(power(corr(a, b), 2), 6) r2 from f where a + b > 0""")
 def matrix_compare(spark, sf_dir):
     mols = umi.molecules(px.solo(spark, sf_dir))
     a = umi.count_exact(mols).withColumnRenamed("n_umis", "value")
-    b = umi.count_corrected(umi.correct_cr(mols, 5)).where("gene % 3 > 0").withColumnRenamed("n_umis", "value")
+    b = umi.count_corrected(umi.correct_cr(mols, 5)).withColumnRenamed("n_umis", "value")
     return reports.compare_matrices(a, b).select("n", F.round("mard", 6).alias("mard"), F.round("r2", 6).alias("r2"))
 
 
@@ -498,11 +498,11 @@ def cell_read_flags(spark, sf_dir):
     return reports.read_flags(li.select(F.col("l_suppkey").alias("cb"), (F.col("l_quantity") > 25).alias("exact"), (F.col("l_discount") > 0.05).alias("one_mismatch"), (F.col("l_linenumber") == 1).alias("mito")), ["exact", "one_mismatch", "mito"])
 
 
-@query("""with g as (select 'A' sample, p_type gene, p_size::bigint c from part where p_size % 2 = 0 union all select 'B', p_type, p_size from part where p_size % 3 = 0)
+@query("""with g as (select 'A' sample, p_type gene, p_size::bigint c from part where p_size % 2 = 0 union all select 'B', p_type, p_size from part where p_size % 2 = 1)
   select gene, coalesce(sum(c) filter (where sample = 'A'), 0)::bigint "A", coalesce(sum(c) filter (where sample = 'B'), 0)::bigint "B" from g group by gene""")
 def merged_gene_counts(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("gene"), F.col("p_size").cast("long").alias("unstranded"))
-    both = p.where("unstranded % 2 = 0").withColumn("sample", F.lit("A")).unionByName(p.where("unstranded % 3 = 0").withColumn("sample", F.lit("B")))
+    both = p.where("unstranded % 2 = 0").withColumn("sample", F.lit("A")).unionByName(p.where("unstranded % 2 = 1").withColumn("sample", F.lit("B")))
     return reports.merge_gene_counts(both, ["A", "B"])
 
 

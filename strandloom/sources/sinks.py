@@ -122,6 +122,5 @@ def summary_rows(one: DataFrame) -> DataFrame:
 
 
 def split_lifted(lifted: DataFrame, path: str) -> None:
-    """Lifted features and the others, as two directories."""
-    lifted.where("lifted").write.mode("overwrite").csv(f"{path}/lifted", sep="\t")
-    lifted.where("not lifted").write.mode("overwrite").csv(f"{path}/unlifted", sep="\t")
+    """Lifted features and the others, as the folders lifted=true and lifted=false of one write."""
+    lifted.write.mode("overwrite").partitionBy("lifted").csv(path, sep="\t")
