@@ -15,13 +15,23 @@ from strandloom.llm.line_dedup import LineOptions, dedup_lines
 from strandloom.llm.quality import keep_quality
 
 
+#: Rows of an Arrow batch: whole texts travel in them, so that they stay small.
+BATCH_ROWS = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    _small_batches(spark)
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines, and lines of 50 words or more, that occur earlier go, and with them documents of which nothing is left; n_chars follows the text."""
+    _small_batches(spark)
     cut = dedup_lines(docs, options=LineOptions(long_line=50)).where("n_removed = 0 or text != ''")
     columns = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("key.n_chars"))}
     return cut.select(*(columns.get(c, F.col(f"key.`{c}`")).alias(c) for c in docs.columns))
@@ -29,6 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of the smallest id."""
+    _small_batches(spark)
     return drop_near_copies(docs)
 
 
