@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,39 @@ def resolve(union: DataFrame) -> DataFrame:
     return union.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def prepared(union: DataFrame) -> DataFrame:
+    """(chr, start, end, strand, motif, shift, priority): the junctions of several sources, settled by place and strand.
+
+    Rows are (chr, start, end, strand 0 undefined, 1 plus, 2 minus, motif, shift, priority), shift being the
+    repeat length to the left. Of rows of one strand that agree when shifted left, the highest
+    priority stays, then a canonical one, then the least shift. What stays goes back to its own place if it
+    is canonical, and those of different strands at one place are settled in the order plus, minus, undefined: higher priority
+    wins; two non-canonical ones become one of undefined strand; a canonical one wins over one that is not, and of two
+    canonical ones that on its motif's strand; an undefined one wins over lower priority than that of
+    the row before it, or where it is canonical and the strand would be undefined. Undefined canonical ones get their motif's strand.
+    start and end are a row's own, not shifted. Null strands, motifs, shifts and priorities count as 0; other columns are left out.
+    """
+    kind = {c: F.coalesce(c, F.lit(0)).cast("int") for c in ("strand", "motif", "shift", "priority")}
+    rows = union.select(*KEY, *(v.alias(c) for c, v in kind.items())).withColumn("side", F.when(F.col("strand").isin(1, 2), F.col("strand")).otherwise(0))
+    # the least of these is the one that stays
+    best = F.struct((-F.col("priority")).alias("low"), (F.col("motif") == 0).alias("plain"), "shift", "motif", "priority", "start", "end")
+    left = [(F.col(c) - F.col("shift")).alias(f"_{c}") for c in ("start", "end")]
+    each = rows.groupBy("chr", *left, "side").agg(F.min(best).alias("x"))
+    # the motif is canonical for the place where the row was seen
+    at = [F.when(F.col("x.motif") > 0, F.col(f"x.{c}")).otherwise(F.col(f"_{c}")).alias(f"_{c}") for c in ("start", "end")]
+    sides = each.groupBy("chr", *at).agg(*(F.min(F.when(F.col("side") == i, F.col("x"))).alias(n) for i, n in ((1, "p"), (2, "m"), (0, "u"))))
+    p, m, u = F.col("p"), F.col("m"), F.col("u")
+    same = p.isNotNull() & m.isNotNull() & (p["priority"] == m["priority"])
+    vague = F.coalesce(same & (p["motif"] == 0) & (m["motif"] == 0), F.lit(False))
+    plus = p.isNotNull() & (m.isNull() | (p["priority"] > m["priority"]) | (same & ((m["motif"] == 0) | (p["motif"] % 2 == 1))))
+    before = F.coalesce(m, p)
+    third = u.isNotNull() & (before.isNull() | (u["priority"] > before["priority"]) | (vague & (u["priority"] == before["priority"]) & (u["motif"] > 0)))
+    third, plus = (F.coalesce(x, F.lit(False)) for x in (third, plus))
+    own = F.when(third, F.when(u["motif"] > 0, 2 - u["motif"] % 2).otherwise(0)).when(vague, 0).when(plus, 1).otherwise(2)
+    stays = sides.select("chr", own.cast("int").alias("strand"), F.when(third, u).when(plus, p).otherwise(m).alias("x"))
+    return stays.select("chr", "x.start", "x.end", "strand", "x.motif", "x.shift", "x.priority")
+
+
 def novel_in(alignments: DataFrame, allowed: DataFrame) -> DataFrame:
     """Junctions of reads that are in a filtered table."""
     return alignments.join(allowed.select(*KEY), list(KEY), "left_semi")
@@ -105,7 +139,7 @@ def from_exons(exons: DataFrame) -> DataFrame:
 PRIORITIES = {"novel": 0, "file": 10, "gtf": 20, "saved": 30}
 
 
-def union_sources(**sources: DataFrame) -> DataFrame:
-    """One row per junction of the named sources (keys of PRIORITIES), each (chr, start, end, strand, motif, shift)."""
+def union_sources(rule: Callable[[DataFrame], DataFrame] = resolve, /, **sources: DataFrame) -> DataFrame:
+    """One row per junction of the named sources (keys of PRIORITIES), each (chr, start, end, strand, motif, shift), by resolve or prepared."""
     parts = [rows.select(*KEY, "strand", "motif", "shift").withColumn("priority", F.lit(PRIORITIES[name])) for name, rows in sources.items()]
-    return resolve(functools.reduce(DataFrame.unionByName, parts))
+    return rule(functools.reduce(DataFrame.unionByName, parts))

@@ -394,6 +394,22 @@ def junction_sources(spark, sf_dir):
     return found.select("chr", "start", "end", "priority", (F.col("motif") > 0).cast("int").alias("canonical"), "shift", "strand")
 
 
+@query("""with u as (select p_partkey // 5 s, (p_size // 9 % 3)::int shift, (p_partkey % 3)::int strand, greatest((p_size % 9)::int - 2, 0) motif, case when p_partkey // 3 % 3 = 0 then 20 else 10 end priority from part),
+  a as (select *, row_number() over (partition by s - shift, strand order by priority desc, motif > 0 desc, shift, motif) k from u),
+  b as (select *, case when motif > 0 then s else s - shift end pos from a where k = 1),
+  c as (select *, row_number() over (partition by pos, strand order by priority desc, motif > 0 desc, shift, motif, s) j from b),
+  p as (select * from c where j = 1 and strand = 1), m as (select * from c where j = 1 and strand = 2), d as (select * from c where j = 1 and strand = 0),
+  two as (select coalesce(p.pos, m.pos) pos, case when p.pos is null then 'm' when m.pos is null then 'p' when p.priority <> m.priority then case when p.priority > m.priority then 'p' else 'm' end
+    when m.motif = 0 then case when p.motif = 0 then '-' else 'p' end when p.motif in (1, 3, 5) then 'p' else 'm' end won, coalesce(m.priority, p.priority) last_ from p full join m on p.pos = m.pos),
+  three as (select coalesce(two.pos, d.pos) pos, case when two.pos is null then 'd' when d.pos is null then won when d.priority > last_ then 'd' when d.priority = last_ and won = '-' and d.motif > 0 then 'd' else won end won from two full join d on two.pos = d.pos)
+  select 'c' chr, c.s as start, c.s + 50 as "end", (case won when 'p' then 1 when 'm' then 2 when '-' then 0 else case when motif = 0 then 0 when motif in (1, 3, 5) then 1 else 2 end end)::int strand, motif::int motif, shift, priority::int priority
+  from three join c on c.pos = three.pos and c.j = 1 and c.strand = case won when 'm' then 2 when 'd' then 0 else 1 end""")
+def junction_strands(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    rows = _t(spark, sf_dir, "part").select(F.lit("c").alias("chr"), F.expr("p_partkey div 5").alias("start"), F.expr("p_partkey div 5 + 50").alias("end"), (F.expr("p_size div 9") % 3).alias("shift"), (key % 3).alias("strand"), F.greatest(size % 9 - 2, F.lit(0)).alias("motif"), F.when(F.expr("p_partkey div 3") % 3 == 0, 20).otherwise(10).alias("priority"))
+    return sj.prepared(rows)
+
+
 @query("select o_orderkey id, case when len(o_clerk_) >= 8 then substr(o_clerk_, 1, 3) || '_' || substr(o_clerk_, 6, 3) end cb, case when len(o_clerk_) >= 5 then substr(o_clerk_, 4, 2) end umi from (select o_orderkey, substr(o_orderpriority, 1, 3 + (o_orderkey % 10)::int) o_clerk_ from orders)")
 def barcode_parts(spark, sf_dir):
     seq = F.substring("o_orderpriority", F.lit(1), (3 + F.col("o_orderkey") % 10).cast("int"))

@@ -138,3 +138,28 @@ def test_barcode_parts(spark):
     parts = spark.createDataFrame([(2, 1, 3)], "a long, b long, c long")
     one = barcodes.split_index(barcodes.combined_index(parts, [3, 4, 5], ["a", "b", "c"]).select("cb"), [3, 4, 5], ["a", "b", "c"]).first()
     assert (one["cb"], one["a"], one["b"], one["c"]) == (2 * 20 + 1 * 5 + 3, 2, 1, 3)
+
+
+def test_prepared_junctions(spark):
+    # (start, strand, motif, shift, priority); ends are 50 behind
+    cases = [
+        ([(10, 1, 1, 0, 10), (10, 1, 1, 0, 20)], [(10, 1, 1, 20)]),  # priority
+        ([(12, 1, 0, 2, 10), (11, 1, 1, 1, 10)], [(11, 1, 1, 10)]),  # canonical, same place when shifted left
+        ([(12, 1, 0, 2, 10), (11, 1, 0, 1, 10)], [(11, 1, 0, 10)]),  # left-most
+        ([(10, 1, 0, 0, 10), (10, 2, 0, 0, 10)], [(10, 0, 0, 10)]),  # both strands, neither canonical
+        ([(12, 1, 0, 2, 10), (11, 2, 0, 1, 10)], [(12, 0, 0, 10)]),  # the same after the shift; the plus row's place
+        ([(10, 1, 2, 0, 10), (10, 2, 2, 0, 10)], [(10, 2, 2, 10)]),  # the motif's strand
+        ([(10, 1, 1, 0, 10), (10, 2, 1, 0, 10)], [(10, 1, 1, 10)]),
+        ([(10, 1, 1, 0, 10), (10, 2, 1, 0, 30)], [(10, 2, 1, 30)]),  # priority before strand
+        ([(10, 2, 1, 0, 10), (10, 0, 1, 0, 10)], [(10, 2, 1, 10)]),  # a defined strand stays
+        ([(10, 2, 1, 0, 10), (10, 0, 1, 0, 20)], [(10, 1, 1, 20)]),  # an undefined one of higher priority gets its motif's strand
+        ([(10, 0, 0, 0, 10)], [(10, 0, 0, 10)]),
+        ([(12, 1, 1, 2, 10), (11, 1, 0, 1, 20), (12, 2, 1, 2, 10)], [(11, 1, 0, 20), (12, 2, 1, 10)]),  # different places after the way back
+        ([(10, None, 1, None, None), (10, 9, 0, 0, 0)], [(10, 1, 1, 0)]),  # nulls count as 0, other strands as undefined
+        ([], []),
+    ]
+    for rows, want in cases:
+        union = spark.createDataFrame([("c", s, s + 50, *rest) for s, *rest in rows], "chr string, start long, end long, strand int, motif int, shift int, priority int")
+        assert sorted((r["start"], r["strand"], r["motif"], r["priority"]) for r in junctions.prepared(union).collect()) == want, rows
+    one = {n: spark.createDataFrame([("c", 5, 9, k, 0, 0)], "chr string, start long, end long, strand int, motif int, shift int") for n, k in (("gtf", 1), ("file", 2))}
+    assert [(r["strand"], r["priority"]) for r in junctions.union_sources(junctions.prepared, **one).collect()] == [(1, 20)]
