@@ -85,3 +85,71 @@ def build(blocks_col: Column, read_len: Column) -> Column:
     rest = read_len - last["r"] - last["len"]
     tail = F.when(rest > 0, F.concat(rest.cast("string"), F.lit("S"))).otherwise("")
     return F.concat(lead, F.array_join(F.transform(blocks_col, piece), ""), tail)
+
+
+_OPS = "array<struct<op:string,len:int>>"
+
+
+def _op(kind: Column | str, length: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("op"), length.cast("int").alias("len"))
+
+
+def text(ops: Column) -> Column:
+    """The CIGAR string of ARRAY<STRUCT<op, len>>."""
+    return F.array_join(F.transform(ops, lambda o: F.concat(o["len"].cast("string"), o["op"])), "")
+
+
+def length_of(ops: Column, *kinds: str) -> Column:
+    """Bases of all operations of these kinds."""
+    return F.aggregate(ops, F.lit(0), lambda acc, o: acc + F.when(o["op"].isin(*kinds), o["len"]).otherwise(0))
+
+
+def cut_at(ops: Column, pos: Column, stretches: Column) -> Column:
+    """Operations from pos on, cut where a stretch ends, with an N of the gap behind it.
+
+    stretches is an array of (start, end, gap) in order; the last has a null gap.
+    """
+
+    def parts(o, i):
+        begin = pos + length_of(F.slice(ops, 1, i), "M", "D", "N")
+        end = begin + o["len"]
+        met = F.filter(stretches, lambda p: (p["start"] < end) & (p["end"] > begin))
+        cut = F.flatten(F.transform(met, lambda p: F.array(_op(o["op"], F.least(p["end"], end) - F.greatest(p["start"], begin)), _op("N", F.when(p["end"] <= end, p["gap"])))))
+        return F.when(o["op"].isin("M", "D", "N"), F.filter(cut, lambda x: x["len"] > 0)).otherwise(F.array(_op(o["op"], o["len"])))
+
+    return F.flatten(F.transform(ops, parts))
+
+
+def merged(ops: Column) -> Column:
+    """Equal neighbours as one operation; an N behind an insertion that follows an N joins that N."""
+
+    def step(acc, o):
+        last, other, n = F.try_element_at(acc, F.lit(-1)), F.try_element_at(acc, F.lit(-2)), F.size(acc)
+        longer = F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(_op(o["op"], last["len"] + o["len"])))
+        around = F.concat(F.slice(acc, 1, F.greatest(n - 2, F.lit(0))), F.array(_op("N", other["len"] + o["len"]), last))
+        return F.when(last["op"] == o["op"], longer).when((o["op"] == "N") & (last["op"] == "I") & (other["op"] == "N"), around).otherwise(F.concat(acc, F.array(o)))
+
+    return F.aggregate(ops, F.array().cast(_OPS), step)
+
+
+def without_last_gap(ops: Column) -> Column:
+    """Without an N at the end or before a last soft clip."""
+    n = F.size(ops)
+    last, other = F.try_element_at(ops, F.lit(-1)), F.try_element_at(ops, F.lit(-2))
+    clipped = F.concat(F.slice(ops, 1, F.greatest(n - 2, F.lit(0))), F.array(last))
+    return F.when(last["op"] == "N", F.slice(ops, 1, F.greatest(n - 1, F.lit(0)))).when((last["op"] == "S") & (other["op"] == "N"), clipped).otherwise(ops)
+
+
+def short_head(ops: Column, overhang: int) -> Column:
+    """How many operations stand before the M behind the first N, if fewer than ``overhang`` bases match before that N; else 0."""
+    kinds = F.transform(ops, lambda o: o["op"])
+    gap = F.array_position(kinds, "N").cast("int")
+    behind = F.array_position(F.slice(kinds, gap + 1, F.size(ops)), "M").cast("int")
+    short = (gap > 1) & (behind > 0) & (length_of(F.slice(ops, 1, F.greatest(gap - 1, F.lit(0))), "M") < overhang)
+    return F.when(short, gap + behind - 1).otherwise(0)
+
+
+def clipped_head(ops: Column, k: Column) -> Column:
+    """The first k operations as one soft clip."""
+    head = F.slice(ops, 1, k)
+    return F.when(k > 0, F.concat(F.array(_op("S", length_of(head, "M", "I", "S"))), F.slice(ops, k + 1, F.size(ops)))).otherwise(ops)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cigar
 from .intervals import overlap_join
 
 
@@ -73,3 +74,31 @@ def flank_concordance(alignments: DataFrame, exons: DataFrame, flank: int = 6, i
     spliced = F.size("blocks") > 1
     kind = F.when(has(16) | (spliced & (has(2) | has(8))), None).when(has(8), 8).when(~has(2), 1).when(has(1), 4).otherwise(2)
     return judged.select("read_id", "transcript", "gene", kind.alias("kind")).where("kind is not null")
+
+
+def to_genome(alignments: DataFrame, stretches: DataFrame, overhang: int = 3) -> DataFrame:
+    """Alignments on transcripts, by CIGAR, as alignments on the genome: all columns, with chr added and pos, strand and cigar changed.
+
+    alignments has (transcript, pos, strand 1 or 2, cigar of M, I, D, N and S), stretches (transcript, start, len, chr, g_start, t_strand): the
+    neighbouring pieces of each transcript, starts counted from 0, g_start being a piece's first base on the plus strand. M, D and N are cut where
+    a piece ends and the gap to the next one is put in as N; equal neighbours are merged, an N at the end goes. The first junction
+    goes if fewer than ``overhang`` bases match before it, and what stands before it becomes a soft clip; so does the last. On transcripts of
+    strand 2 the result is turned round. Native; rows without a transcript among the stretches, or that begin behind its end, go. A
+    transcript's stretches travel as one array.
+    """
+    x = F.when(F.col("t_strand") == 2, -(F.col("g_start") + F.col("len"))).otherwise(F.col("g_start"))
+    models = stretches.groupBy("transcript").agg(F.first("chr").alias("_chr"), F.first("t_strand").alias("_turn"), F.sort_array(F.collect_list(F.struct("start", "len", x.alias("x")))).alias("_p"))
+    ends = F.transform("_p", lambda p, i: F.struct(p["start"].alias("start"), (p["start"] + p["len"]).alias("end"), (F.get(F.col("_p"), i + 1)["x"] - p["x"] - p["len"]).alias("gap"), p["x"].alias("x")))
+    rows = alignments.join(models.withColumn("_p", ends), "transcript")
+    home = F.filter("_p", lambda p: (p["start"] <= F.col("pos")) & (F.col("pos") < p["end"]))
+    rows = rows.withColumn("_home", F.get(home, F.lit(0))).where("_home is not null").withColumn("_at", F.col("_home.x") + F.col("pos") - F.col("_home.start"))
+    ops = cigar.operations(F.col("cigar"))
+    for step in (lambda _: ops, lambda c: cigar.cut_at(c, F.col("pos"), F.col("_p")), cigar.merged, cigar.without_last_gap, cigar.without_last_gap):
+        rows = rows.withColumn("_ops", step(F.col("_ops")))
+    rows = rows.withColumn("_k", cigar.short_head(F.col("_ops"), overhang)).withColumn("_at", F.col("_at") + cigar.length_of(F.slice("_ops", 1, F.col("_k")), "M", "D", "N"))
+    rows = rows.withColumn("_ops", F.reverse(cigar.clipped_head(F.col("_ops"), F.col("_k"))))
+    rows = rows.withColumn("_ops", cigar.clipped_head(F.col("_ops"), cigar.short_head(F.col("_ops"), overhang)))
+    turned = F.col("_turn") == 2
+    at = F.when(turned, -(F.col("_at") + cigar.length_of(F.col("_ops"), "M", "D", "N"))).otherwise(F.col("_at"))
+    new = {"pos": at, "strand": F.when(turned, 3 - F.col("strand")).otherwise(F.col("strand")), "cigar": cigar.text(F.when(turned, F.col("_ops")).otherwise(F.reverse("_ops")))}
+    return rows.select(*(new.get(c, F.col(c)).alias(c) for c in alignments.columns), F.col("_chr").alias("chr"))

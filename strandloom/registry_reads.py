@@ -410,6 +410,22 @@ def junction_strands(spark, sf_dir):
     return sj.prepared(rows)
 
 
+@query("""with a as (select l_suppkey % 10 t, l_partkey % 40 a, l_quantity::int n, l_linenumber % 3 clip, 1 + l_orderkey % 2 strand, l_orderkey id from lineitem),
+  l as (select *, [greatest(0, least(a + n, k + 30) - greatest(a, k))::int for k in [0, 30, 60]] ls, a // 30 f, (a + n - 1) // 30 e from a),
+  h as (select *, f < e and ls[f + 1] < 3 cut1 from l), g as (select *, (f + cut1::int) f2 from h), j as (select *, f2 < e and ls[e + 1] < 3 cut2 from g), k as (select *, e - cut2::int e2 from j),
+  m as (select *, clip + case when cut1 then ls[f + 1] else 0 end s1, case when cut2 then ls[e + 1] else 0 end s2, [ls[x + 1] || 'M' for x in range(f2, e2 + 1)] ms, case when f2 = f then a - 30 * f else 0 end o1, case when e2 = e then a + n - 30 * e else 30 end o2 from k),
+  c as (select *, case when s1 > 0 then s1 || 'S' else '' end x1, case when s2 > 0 then s2 || 'S' else '' end x2 from m)
+  select id, 'g' || t % 3 chr, 1000 * t + case when t % 2 = 0 then 100 * f2 + o1 else 100 * (2 - e2) + 30 - o2 end pos, (case when t % 2 = 0 then strand else 3 - strand end)::int strand,
+    case when t % 2 = 0 then x1 || array_to_string(ms, '70N') || x2 else x2 || array_to_string(list_reverse(ms), '70N') || x1 end cigar from c""")
+def transcript_cigars(spark, sf_dir):
+    clip_ = F.col("l_linenumber") % 3
+    whole = F.concat(F.when(clip_ > 0, F.concat(clip_.cast("string"), F.lit("S"))).otherwise(""), F.col("l_quantity").cast("int").cast("string"), F.lit("M"))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 10).alias("transcript"), (F.col("l_partkey") % 40).alias("pos"), (1 + F.col("l_orderkey") % 2).cast("int").alias("strand"), whole.alias("cigar"))
+    t, k, odd = F.expr("id div 3"), F.col("id") % 3, F.expr("id div 3") % 2 == 1
+    pieces = spark.range(30).select(t.alias("transcript"), (k * 30).alias("start"), F.lit(30).alias("len"), F.concat(F.lit("g"), (t % 3).cast("string")).alias("chr"), (t * 1000 + F.when(odd, 2 - k).otherwise(k) * 100).alias("g_start"), F.when(odd, 2).otherwise(1).alias("t_strand"))
+    return transcripts.to_genome(rows, pieces).select("id", "chr", "pos", "strand", "cigar")
+
+
 @query("select o_orderkey id, case when len(o_clerk_) >= 8 then substr(o_clerk_, 1, 3) || '_' || substr(o_clerk_, 6, 3) end cb, case when len(o_clerk_) >= 5 then substr(o_clerk_, 4, 2) end umi from (select o_orderkey, substr(o_orderpriority, 1, 3 + (o_orderkey % 10)::int) o_clerk_ from orders)")
 def barcode_parts(spark, sf_dir):
     seq = F.substring("o_orderpriority", F.lit(1), (3 + F.col("o_orderkey") % 10).cast("int"))

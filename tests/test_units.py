@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar, sequence
-from strandloom.operators import cells, intervals, junctions, liftover, quant, umi, variants
+from strandloom.operators import cells, intervals, junctions, liftover, quant, transcripts, umi, variants
 from strandloom.options import BarcodeMatch  # noqa: F401
 
 
@@ -163,3 +163,34 @@ def test_prepared_junctions(spark):
         assert sorted((r["start"], r["strand"], r["motif"], r["priority"]) for r in junctions.prepared(union).collect()) == want, rows
     one = {n: spark.createDataFrame([("c", 5, 9, k, 0, 0)], "chr string, start long, end long, strand int, motif int, shift int") for n, k in (("gtf", 1), ("file", 2))}
     assert [(r["strand"], r["priority"]) for r in junctions.union_sources(junctions.prepared, **one).collect()] == [(1, 20)]
+
+
+def test_transcript_cigars_to_genome(spark):
+    # pieces of 10 bases at 100, 150 and 300; on the minus strand the same, the last first
+    pieces = [("p", 0, 10, "c", 100, 1), ("p", 10, 10, "c", 150, 1), ("p", 20, 10, "c", 300, 1), ("m", 0, 10, "c", 300, 2), ("m", 10, 10, "c", 150, 2), ("m", 20, 10, "c", 100, 2)]
+    stretches = spark.createDataFrame(pieces, "transcript string, start long, len long, chr string, g_start long, t_strand int")
+    cases = [
+        (("p", 2, 1, "5M"), (102, 1, "5M")),
+        (("p", 5, 1, "10M"), (105, 1, "5M40N5M")),
+        (("p", 5, 1, "5M"), (105, 1, "5M")),  # the gap behind the last base goes
+        (("p", 5, 1, "5M3S"), (105, 1, "5M3S")),  # also before a clip
+        (("p", 5, 1, "20M"), (105, 1, "5M40N10M140N5M")),
+        (("p", 8, 1, "1S7M"), (150, 1, "3S5M")),  # two bases before the first junction
+        (("p", 8, 1, "5M"), (150, 1, "2S3M")),  # three behind it are enough
+        (("p", 5, 1, "7M2S"), (105, 1, "5M4S")),  # two behind the last junction
+        (("p", 5, 1, "5M2I5M"), (105, 1, "5M40N2I5M")),
+        (("p", 5, 1, "3M4D4M"), (105, 1, "3M2D40N2D4M")),
+        (("p", 5, 1, "5M2I10N5M"), (105, 1, "5M190N2I5M")),  # N, I, N: one junction, with the N behind it
+        (("m", 5, 1, "10M"), (155, 2, "5M140N5M")),
+        (("m", 12, 2, "5M1S"), (153, 1, "1S5M")),
+        (("m", 8, 1, "1S7M"), (155, 2, "5M3S")),
+        (("p", 30, 1, "5M"), None),
+        (("x", 0, 1, "5M"), None),
+        (("p", 0, 1, None), "any"),
+    ]
+    rows = spark.createDataFrame([(i, *row) for i, (row, _) in enumerate(cases)], "id int, transcript string, pos long, strand int, cigar string")
+    got = {r["id"]: (r["pos"], r["strand"], r["cigar"]) for r in transcripts.to_genome(rows, stretches).collect()}
+    for i, (row, want) in enumerate(cases):
+        if want != "any":
+            assert got.get(i) == want, row
+    assert transcripts.to_genome(rows.limit(0), stretches).count() == 0
