@@ -426,6 +426,29 @@ def transcript_cigars(spark, sf_dir):
     return transcripts.to_genome(rows, pieces).select("id", "chr", "pos", "strand", "cigar")
 
 
+_BASES = "translate({}, '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_CHIMERA = {"donor": _BASES.format("md5('d' || p_partkey) || md5('e' || p_partkey)"), "acceptor": _BASES.format("md5('a' || p_partkey) || md5('b' || p_partkey)")}
+
+
+@query(f"""with s as (select p_partkey id, {_CHIMERA["donor"]} d, {_CHIMERA["acceptor"]} a, (20 + p_size % 9)::int cut, (p_partkey % 3)::int strand, 1 + p_size % 2 s1, 1 + p_partkey % 2 s2 from part),
+  w as (select *, substr(d, 5, cut) || substr(a, 5 + cut, 50 - cut) r from s), e as (select *, unnest(range(0, 49)) j from w),
+  f as (select id, j, strand, substr(r, j + 1, 1) b, substr(d, j + 5, 1) x, substr(a, j + 5, 1) y, substr(d, j + 6, 2) || substr(a, j + 4, 2) gap from e),
+  g as (select *, case when gap = 'GTAG' and strand <> 2 then 1 when gap = 'CTAC' and strand <> 1 then 2 else 0 end motif, sum((b = x)::int - (b = y)::int) over (partition by id order by j) score from f),
+  h as (select *, score - (motif = 0)::int total, max(score - (motif = 0)::int) over (partition by id) best from g),
+  k as (select id, coalesce(max(case when motif > 0 then j end), min(j)) j from h where total = best group by id),
+  z as (select k.id, k.j, w.*, h.motif from k join w on k.id = w.id join h on h.id = k.id and h.j = k.j),
+  o as (select id, sum((substr(r, i + 1, 1) = case when i <= j then substr(d, i + 5, 1) else substr(a, i + 5, 1) end)::int * 2 - 1) m from (select *, unnest(range(0, 50)) i from z) group by id),
+  p as (select id, max(case when i <= j + 4 and substr(d, i + 1, 1) <> substr(a, i + 1, 1) then i end) lo, min(case when i > j + 4 and substr(d, i + 1, 1) <> substr(a, i + 1, 1) then i end) hi from (select *, unnest(range(0, 64)) i from z) group by id)
+  select z.id, (j + 1)::int as "offset", motif::int motif, (j + 4 - coalesce(lo, -1))::int repeat_left, (coalesce(hi, 64) - j - 5)::int repeat_right, case when s1 = 1 then 1000 + j + 1 else 1000 - j - 1 end first_donor, case when s2 = 1 then 9000 + j else 9000 - j end first_acceptor, (m - (motif = 0)::int)::int chim_score
+  from z join o on z.id = o.id join p on p.id = z.id where j + 1 >= 20 and 50 - j - 1 >= 20""")
+def chimeric_breakpoints(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(F.expr(v).alias(c) for c, v in _CHIMERA.items()), (20 + F.col("p_size") % 9).cast("int").alias("cut"), (F.col("p_partkey") % 3).cast("int").alias("strand"), (1 + F.col("p_size") % 2).alias("strand_1"), (1 + F.col("p_partkey") % 2).alias("strand_2"))
+    read = F.concat(F.substring("donor", F.lit(5), F.col("cut")), F.substring("acceptor", F.col("cut") + 5, 50 - F.col("cut")))
+    # windows of 4 bases before the read and 10 behind it
+    rows = part.select("id", "donor", "acceptor", "strand", "strand_1", "strand_2", read.alias("read"), F.lit(1000).alias("g_1"), F.lit(9000).alias("g_2"))
+    return chimeras.breakpoints(rows, 4).drop("donor", "acceptor", "strand", "strand_1", "strand_2", "read", "g_1", "g_2")
+
+
 @query("select o_orderkey id, case when len(o_clerk_) >= 8 then substr(o_clerk_, 1, 3) || '_' || substr(o_clerk_, 6, 3) end cb, case when len(o_clerk_) >= 5 then substr(o_clerk_, 4, 2) end umi from (select o_orderkey, substr(o_orderpriority, 1, 3 + (o_orderkey % 10)::int) o_clerk_ from orders)")
 def barcode_parts(spark, sf_dir):
     seq = F.substring("o_orderpriority", F.lit(1), (3 + F.col("o_orderkey") % 10).cast("int"))

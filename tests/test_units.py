@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar, sequence
-from strandloom.operators import cells, intervals, junctions, liftover, quant, transcripts, umi, variants
+from strandloom.operators import cells, chimeras, intervals, junctions, liftover, quant, transcripts, umi, variants
 from strandloom.options import BarcodeMatch  # noqa: F401
 
 
@@ -194,3 +194,24 @@ def test_transcript_cigars_to_genome(spark):
         if want != "any":
             assert got.get(i) == want, row
     assert transcripts.to_genome(rows.limit(0), stretches).count() == 0
+
+
+def test_breakpoints(spark):
+    def found(read, donor, acceptor, strand=0, strand_1=1, strand_2=1, **options):
+        rows = spark.createDataFrame([(read, donor, acceptor, strand, 100, 900, strand_1, strand_2)], "read string, donor string, acceptor string, strand int, g_1 long, g_2 long, strand_1 int, strand_2 int")
+        out = chimeras.breakpoints(rows, 4, chimeras.ChimeraOptions(**{"overhang_min": 2, **options})).collect()
+        return [(r["offset"], r["motif"], r["repeat_left"], r["repeat_right"], r["first_donor"], r["first_acceptor"], r["chim_score"]) for r in out]
+
+    read, donor, acceptor = "ACGACCTGACTG", "CCCCACGACCGTCCCCCCCC", "TTTTTTTTAGTGACTGAAAA"
+    assert found(read, donor, acceptor) == [(6, 1, 0, 0, 106, 905, 12)]
+    assert found(read.lower(), donor, acceptor, strand=1) == [(6, 1, 0, 0, 106, 905, 12)]
+    assert found(read, donor, acceptor, strand=2) == [(6, 0, 0, 0, 106, 905, 11)]  # the motif is the other strand's
+    assert found(read, donor, acceptor, strand_1=2, strand_2=2) == [(6, 1, 0, 0, 94, 895, 12)]
+    assert found(read, donor, acceptor, overhang_min=7) == []
+    # no motif: the first of equals, with what repeats behind it; with a motif two bases on, that one
+    assert found("ACGACCAAGCTG", "CCCCACGACCAACCCCCCCC", "TTTTTTTTTTAAGCTGAAAA") == [(6, 0, 0, 2, 106, 905, 11)]
+    assert found("ACGACCAGGCTG", "CCCCACGACCAGGTCCCCCC", "TTTTTTTTTTAGGCTGAAAA") == [(8, 1, 2, 1, 108, 907, 12)]
+    # unknown bases, nothing to split
+    assert found("ACNACCTGACTG", donor, acceptor) == [] and found(None, donor, acceptor) == [] and found("", donor, acceptor) == [] and found("A", donor, acceptor) == []
+    with_n = donor.replace("ACGACC", "ACNACC")
+    assert found(read, with_n, acceptor) == [] and found(read, with_n, acceptor, genome_n=False) == [(6, 1, 0, 0, 106, 905, 10)]
