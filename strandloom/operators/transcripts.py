@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar
-from .intervals import overlap_join
+from .intervals import within_join
 
 
 def numbered_exons(exons: DataFrame) -> DataFrame:
@@ -16,6 +16,46 @@ def numbered_exons(exons: DataFrame) -> DataFrame:
     return exons.withColumn("ex", F.row_number().over(of) - 1).withColumn("len_before", F.coalesce(before, F.lit(0)))
 
 
+def gathered(blocks: DataFrame) -> DataFrame:
+    """(read_id, chr, blocks, whole) of rows (read_id, chr, start, end): a read's blocks on a chromosome, ordered, and whether it has none elsewhere."""
+    per = blocks.repartition("read_id").groupBy("read_id", "chr").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("blocks"))
+    return per.withColumn("whole", F.count("*").over(Window.partitionBy("read_id")) == 1)
+
+
+def _within(alignments: DataFrame, exons: DataFrame, bin_size: int | None) -> DataFrame:
+    """Alignments with the transcripts that contain them, as arrays: exons, and _b, the blocks with the exons that hold each."""
+    piece = F.struct("start", "end", "ex", "len_before")
+    models = numbered_exons(exons).groupBy("chr", "transcript").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(piece)).alias("exons"))
+    pairs = within_join(alignments, models, bin_size, keep_bin=True)
+
+    def held(b):
+        return F.struct(b["start"].alias("start"), b["end"].alias("end"), F.filter("exons", lambda e: (e["start"] <= b["start"]) & (b["end"] <= e["end"])).alias("in"))
+
+    return pairs.withColumn("_b", F.transform("blocks", held))
+
+
+def _concordant() -> Column:
+    """Whether each block of _b lies in one exon, and neighbours in one or at the meeting ends of two."""
+
+    def follows(b, i):
+        before, home = F.get(F.col("_b"), i - 1), F.get(b["in"], F.lit(0))
+        last = F.get(before["in"], F.lit(0))
+        return (F.size(b["in"]) == 1) & ((i == 0) | (home["ex"] == last["ex"]) | ((home["ex"] == last["ex"] + 1) & (last["end"] == before["end"]) & (b["start"] == home["start"])))
+
+    return F.forall(F.transform("_b", follows), lambda ok: F.coalesce(ok, F.lit(False)))
+
+
+def project_reads(alignments: DataFrame, exons: DataFrame, bin_size: int | None = None, distinct: bool = False) -> DataFrame:
+    """project() of (read_id, chr, blocks), blocks an ordered array of (start, end): one shuffle of the reads, none of the pairs. distinct: equal rows once."""
+    rows = _within(alignments, exons, bin_size).where(_concordant())
+
+    def at(b):
+        return b["in"][0]["len_before"] + b["start"] - b["in"][0]["start"]
+
+    ends = F.array_min(F.transform("_b", at)).alias("t_start"), F.array_max(F.transform("_b", lambda b: at(b) + b["end"] - b["start"])).alias("t_end")
+    return _once(rows.select("chr", "_bin", "read_id", "transcript", *ends), distinct)
+
+
 def project(blocks: DataFrame, exons: DataFrame, bin_size: int | None = None) -> DataFrame:
     """(read_id, transcript, t_start, t_end) of alignments that are concordant with a transcript.
 
@@ -23,42 +63,39 @@ def project(blocks: DataFrame, exons: DataFrame, bin_size: int | None = None) ->
     block lies in an exon; neighbouring blocks lie in one exon, or end and begin with
     neighbouring exons. Positions are in the spliced transcript, half-open.
     """
-    of_read = Window.partitionBy("read_id")
-    own = blocks.withColumn("_n", F.count("*").over(of_read)).withColumn("_b", F.row_number().over(of_read.orderBy("start", "end")) - 1)
-    rows = overlap_join(own.select("read_id", "chr", "start", "end", "_n", "_b"), numbered_exons(exons).select("chr", "start", "end", "transcript", "ex", "len_before"), ["chr"], bin_size)
-    inside = rows.where("r_start <= start and end <= r_end")
-    w = Window.partitionBy("read_id", "transcript").orderBy("_b")
-    joined = inside.withColumn("_pb", F.lag("_b").over(w)).withColumn("_pe", F.lag("ex").over(w)).withColumn("_end", F.lag(F.col("r_end") - F.col("end")).over(w))
-    next_exon = (F.col("ex") == F.col("_pe") + 1) & (F.col("_end") == 0) & (F.col("start") == F.col("r_start"))
-    ok = F.col("_pb").isNull() | ((F.col("_b") == F.col("_pb") + 1) & ((F.col("ex") == F.col("_pe")) | next_exon))
-    at = F.col("len_before") + F.col("start") - F.col("r_start")
-    whole = joined.groupBy("read_id", "transcript").agg(F.count_if(ok).alias("_k"), F.count("*").alias("_m"), F.max("_n").alias("_n"), F.min(at).alias("t_start"), F.max(at + F.col("end") - F.col("start")).alias("t_end"))
-    return whole.where("_k = _n and _m = _n").select("read_id", "transcript", "t_start", "t_end")
+    return project_reads(gathered(blocks).where("whole"), exons, bin_size)
+
+
+def concordance_reads(alignments: DataFrame, exons: DataFrame, bin_size: int | None = None, distinct: bool = False) -> DataFrame:
+    """concordance() of (read_id, chr, blocks), blocks an ordered array of (start, end); with a column whole, only where it is set is a read exonic. distinct: equal rows once."""
+    touched = F.exists("blocks", lambda b: F.exists("exons", lambda e: (e["start"] < b["end"]) & (b["start"] < e["end"])))
+    exact = _concordant() & (F.col("whole") if "whole" in alignments.columns else F.lit(True))
+    kind = F.when(exact, "exonic").when(touched, "spanning").otherwise("intronic")
+    return _once(_within(alignments, exons, bin_size).select("chr", "_bin", "read_id", "transcript", kind.alias("kind")), distinct)
 
 
 def concordance(blocks: DataFrame, exons: DataFrame, bin_size: int | None = None) -> DataFrame:
     """(read_id, transcript, kind) of alignments within a transcript's extent: "exonic" as project(), "intronic" without an exonic base, else "spanning"."""
-    extent = exons.groupBy("chr", "transcript").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    read = blocks.groupBy("read_id", "chr").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    within = overlap_join(read, extent, ["chr"], how="within").select("read_id", "transcript")
-    touched = overlap_join(blocks.select("read_id", "chr", "start", "end"), exons.select("chr", "start", "end", "transcript"), ["chr"], bin_size).select("read_id", "transcript").distinct().withColumn("_t", F.lit(True))
-    exact = project(blocks, exons, bin_size).select("read_id", "transcript").withColumn("_x", F.lit(True))
-    joined = within.join(touched, ["read_id", "transcript"], "left").join(exact, ["read_id", "transcript"], "left")
-    return joined.select("read_id", "transcript", F.when(F.col("_x"), "exonic").when(F.col("_t"), "spanning").otherwise("intronic").alias("kind"))
+    return concordance_reads(gathered(blocks), exons, bin_size)
+
+
+def _once(rows: DataFrame, distinct: bool) -> DataFrame:
+    """Rows without chr and _bin; equal ones once, if asked, which needs no shuffle where the pairs were found."""
+    return (rows.distinct() if distinct else rows).drop("chr", "_bin")
 
 
-def flank_concordance(alignments: DataFrame, exons: DataFrame, flank: int = 6, intron_max: int = 1_000_000) -> DataFrame:
+def flank_concordance(alignments: DataFrame, exons: DataFrame, flank: int = 6, intron_max: int = 1_000_000, distinct: bool = False) -> DataFrame:
     """(read_id, transcript, gene, kind) of alignments within a transcript, judged with tolerance at exon ends.
 
     alignments has (read_id, chr, blocks), blocks an ordered array of (start, end) cut at junctions only; exons (chr, start,
     end, transcript, gene). Ends that reach over a boundary by ``flank`` bases or less don't count, nor do blocks of ``flank`` bases or less.
     kind is 1 exonic, 2 intronic, 4 both but no block across a boundary, 8 with such a block. Spliced alignments that touch
     an intron, and any within an intron longer than intron_max, have no row. Native: exons come as one array per transcript.
+    distinct: equal rows once.
     """
     models = exons.groupBy("chr", "transcript", "gene").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("exons"))
     models = models.withColumn("start", F.col("exons")[0]["start"]).withColumn("end", F.element_at("exons", -1)["end"])
-    spans = alignments.withColumn("start", F.col("blocks")[0]["start"]).withColumn("end", F.element_at("blocks", -1)["end"])
-    pairs = overlap_join(spans, models, ["chr"], how="within")
+    pairs = within_join(alignments, models, keep_bin=distinct)
 
     def judge(b):
         k = F.size(F.filter("exons", lambda e: e["start"] <= b["start"]))
@@ -73,7 +110,8 @@ def flank_concordance(alignments: DataFrame, exons: DataFrame, flank: int = 6, i
     has = lambda bit: F.col("_k").bitwiseAND(bit) > 0
     spliced = F.size("blocks") > 1
     kind = F.when(has(16) | (spliced & (has(2) | has(8))), None).when(has(8), 8).when(~has(2), 1).when(has(1), 4).otherwise(2)
-    return judged.select("read_id", "transcript", "gene", kind.alias("kind")).where("kind is not null")
+    kept = ["chr", "_bin"] if distinct else []
+    return _once(judged.select(*kept, "read_id", "transcript", "gene", kind.alias("kind")).where("kind is not null"), distinct)
 
 
 def to_genome(alignments: DataFrame, stretches: DataFrame, overhang: int = 3) -> DataFrame:

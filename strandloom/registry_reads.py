@@ -28,18 +28,17 @@ _KIND = f"select distinct {_READ} read_id, l_partkey transcript, l_linenumber %
 @query(f"""with k as ({_KIND}), s as (select *, read_id % 2 = transcript % 2 sense from k)
   select read_id, case when kind < 2 then 'exonic' when kind = 2 then 'half_exonic' else 'intronic' end || case when sense then '' else '_antisense' end as class, (case when sense then 1 else 0 end)::int n_genes from s""")
 def overlap_classes(spark, sf_dir):
-    blocks, exons = px.spliced(spark, sf_dir)
-    at = F.row_number().over(px.Window.partitionBy("read_id").orderBy("start")) - 1
-    alignments = blocks.withColumn("align_idx", F.lit(0)).withColumn("strand", (1 + F.col("read_id") % 2).cast("int")).withColumn("block", at).withColumn("joined", F.col("block") > 0)
-    found = quant.overlap_classes(alignments, exons.withColumn("strand", (1 + F.col("transcript") % 2).cast("int")).withColumn("gene", F.expr("transcript div 2")))
+    reads, exons = px.spliced_reads(spark, sf_dir)
+    numbered = F.transform("blocks", lambda b, i: F.struct(i.cast("int").alias("block"), b["start"].alias("start"), b["end"].alias("end"), (i > 0).alias("joined")))
+    alignments = reads.select("read_id", "chr", (1 + F.col("read_id") % 2).cast("int").alias("strand"), numbered.alias("blocks"))
+    found = quant.overlap_classes_of(alignments, exons.withColumn("strand", (1 + F.col("transcript") % 2).cast("int")).withColumn("gene", F.expr("transcript div 2")))
     return found.select("read_id", "class", F.size("genes").alias("n_genes"))
 
 
 @query(f"""with k as ({_KIND}) select read_id, transcript, (case when kind <= 2 then 1 when kind = 3 and off_ < 14 then 8 else 2 end)::int kind from k""")
 def flank_concordance(spark, sf_dir):
-    blocks, exons = px.spliced(spark, sf_dir)
-    whole = blocks.groupBy("read_id", "chr").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("blocks"))
-    return transcripts.flank_concordance(whole, exons.withColumn("gene", F.col("transcript"))).select("read_id", "transcript", "kind")
+    reads, exons = px.spliced_reads(spark, sf_dir)
+    return transcripts.flank_concordance(reads, exons.withColumn("gene", F.col("transcript")), distinct=True).select("read_id", "transcript", "kind")
 
 
 # --- barcodes --------------------------------------------------------------------------------------------------------
