@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import transcripts
+from strandloom.operators import quant, transcripts
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +30,11 @@ def test_flank_concordance_of_many(many):
     found = no_broadcast(transcripts.flank_concordance(reads, exons.withColumn("gene", F.col("transcript")), distinct=True))
     assert {tuple(r) for r in found.groupBy(F.col("read_id") % 2, "kind").count().collect()} == {(0, 1, 12_000), (1, 8, 12_000)}
     assert found.where("read_id <> transcript").count() == 0
+
+
+def test_overlap_classes_of_many(many):
+    reads, exons = many
+    blocks = F.transform("blocks", lambda b, i: F.struct(i.alias("block"), b["start"].alias("start"), b["end"].alias("end"), (i > 0).alias("joined")))
+    found = no_broadcast(quant.overlap_classes_of(reads.select("read_id", "chr", F.lit(1).alias("strand"), blocks.alias("blocks")), exons.withColumn("strand", F.lit(1)).withColumn("gene", F.col("transcript"))))
+    assert {tuple(r) for r in found.groupBy(F.col("read_id") % 2, "class").count().collect()} == {(0, "exonic", 12_000), (1, "intronic", 12_000)}
+    assert found.where("genes <> array(read_id)").count() == 0
