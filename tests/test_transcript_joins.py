@@ -38,3 +38,8 @@ def test_overlap_classes_of_many(many):
     found = no_broadcast(quant.overlap_classes_of(reads.select("read_id", "chr", F.lit(1).alias("strand"), blocks.alias("blocks")), exons.withColumn("strand", F.lit(1)).withColumn("gene", F.col("transcript"))))
     assert {tuple(r) for r in found.groupBy(F.col("read_id") % 2, "class").count().collect()} == {(0, "exonic", 12_000), (1, "intronic", 12_000)}
     assert found.where("genes <> array(read_id)").count() == 0
+
+
+def test_concordance_of_many(many):
+    found = no_broadcast(transcripts.concordance_reads(*many, distinct=True))
+    assert {tuple(r) for r in found.groupBy(F.col("read_id") % 2, "kind").count().collect()} == {(0, "exonic", 12_000), (1, "spanning", 12_000)}
