@@ -43,3 +43,15 @@ def test_overlap_classes_of_many(many):
 def test_concordance_of_many(many):
     found = no_broadcast(transcripts.concordance_reads(*many, distinct=True))
     assert {tuple(r) for r in found.groupBy(F.col("read_id") % 2, "kind").count().collect()} == {(0, "exonic", 12_000), (1, "spanning", 12_000)}
+
+
+def test_project_of_many(many):
+    found = no_broadcast(transcripts.project_reads(*many, distinct=True))
+    assert found.count() == found.where("read_id % 2 = 0 and read_id = transcript and t_start = 50 and t_end = 120").count() == 12_000
+
+
+def test_reads_on_two_chromosomes_are_not_exonic(spark):
+    exons = spark.createDataFrame([("c", 0, 100, "t")], "chr string, start long, end long, transcript string")
+    blocks = spark.createDataFrame([(1, "c", 10, 20), (1, "d", 10, 20), (2, "c", 10, 20)], "read_id long, chr string, start long, end long")
+    assert [r["read_id"] for r in transcripts.project(blocks, exons).collect()] == [2]
+    assert {(r["read_id"], r["kind"]) for r in transcripts.concordance(blocks, exons).collect()} == {(1, "spanning"), (2, "exonic")}
