@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import quant, transcripts
+from strandloom.operators import intervals, quant, transcripts
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,34 @@ def test_reads_on_two_chromosomes_are_not_exonic(spark):
     blocks = spark.createDataFrame([(1, "c", 10, 20), (1, "d", 10, 20), (2, "c", 10, 20)], "read_id long, chr string, start long, end long")
     assert [r["read_id"] for r in transcripts.project(blocks, exons).collect()] == [2]
     assert {(r["read_id"], r["kind"]) for r in transcripts.concordance(blocks, exons).collect()} == {(1, "spanning"), (2, "exonic")}
+
+
+def travelling(df):
+    """Columns of the reads' side of the join: what is shuffled."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    return [f.split(":", 1) for f in plan.left().schema().simpleString()[7:-1].split(",")]
+
+
+def test_blocks_travel_as_one_array(many):
+    reads, exons = many
+    blocks = F.transform("blocks", lambda b, i: F.struct(i.alias("block"), b["start"].alias("start"), b["end"].alias("end"), (i > 0).alias("joined")))
+    classes = quant.overlap_classes_of(reads.select("read_id", "chr", F.lit(1).alias("strand"), blocks.alias("blocks")), exons.withColumn("strand", F.lit(1)).withColumn("gene", F.col("transcript")))
+    for df in (classes, transcripts.concordance_reads(reads, exons, distinct=True), transcripts.project_reads(reads, exons, distinct=True)):
+        assert [kind for _, kind in travelling(df) if "array" in kind] == ["array<bigint>"]
+        assert {c for c, _ in travelling(df)} <= {"read_id", "chr", "_str", "_first", "_of"}
+
+
+@pytest.mark.parametrize("tag", ["int", "boolean", "string"])
+def test_within_join_gives_blocks_back(spark, tag):
+    rows = [(1, "c", [(5, 9, 1), (20, 30, None)]), (2, "c", [(-300, -290, 0)]), (3, "c", []), (4, "c", None), (5, "d", [(5, 9, 1)]), (6, "c", [(99, 101, 1)])]
+    alignments = spark.createDataFrame(rows, "id long, chr string, blocks array<struct<start: long, end: long, tag: int>>").withColumn("blocks", F.col("blocks").cast(f"array<struct<start: long, end: long, tag: {tag}>>"))
+    models = spark.createDataFrame([("c", 0, 100, "m"), ("c", -400, 0, "n"), ("c", 5, 30, "o")], "chr string, start long, end long, model string")
+    found = intervals.within_join(alignments, models)
+    assert found.schema["blocks"].dataType.simpleString() == f"array<struct<start:bigint,end:bigint,tag:{tag}>>"
+    assert sorted((r["id"], r["model"]) for r in found.collect()) == [(1, "m"), (1, "o"), (2, "n")]
+    outer = intervals.within_join(alignments, models, outer=True)
+    assert sorted((r["id"], r["model"] or "") for r in outer.collect()) == [(1, "m"), (1, "o"), (2, "n"), (3, ""), (4, ""), (5, ""), (6, "")]
+    given = {r["id"]: r["blocks"] for r in alignments.collect()}
+    assert all(r["blocks"] == given[r["id"]] for r in outer.collect())
