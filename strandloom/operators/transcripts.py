@@ -47,13 +47,15 @@ def _concordant() -> Column:
 
 def project_reads(alignments: DataFrame, exons: DataFrame, bin_size: int | None = None, distinct: bool = False) -> DataFrame:
     """project() of (read_id, chr, blocks), blocks an ordered array of (start, end): one shuffle of the reads, none of the pairs. distinct: equal rows once."""
-    rows = _within(alignments, exons, bin_size).where(_concordant())
+    rows = _within(alignments, exons, bin_size)
 
     def at(b):
         return b["in"][0]["len_before"] + b["start"] - b["in"][0]["start"]
 
     ends = F.array_min(F.transform("_b", at)).alias("t_start"), F.array_max(F.transform("_b", lambda b: at(b) + b["end"] - b["start"])).alias("t_end")
-    return _once(rows.select("chr", "_bin", "read_id", "transcript", *ends), distinct)
+    # a filter on _b would be pushed into the join, where _b is computed anew for each use and block; one on generated rows isn't
+    found = rows.select("chr", "_bin", "read_id", "transcript", F.explode_outer(F.array(F.when(_concordant(), F.struct(*ends)))).alias("_t")).where("_t is not null")
+    return _once(found.select("chr", "_bin", "read_id", "transcript", "_t.t_start", "_t.t_end"), distinct)
 
 
 def project(blocks: DataFrame, exons: DataFrame, bin_size: int | None = None) -> DataFrame:

@@ -86,3 +86,8 @@ def test_within_join_gives_blocks_back(spark, tag):
     assert sorted((r["id"], r["model"] or "") for r in outer.collect()) == [(1, "m"), (1, "o"), (2, "n"), (3, ""), (4, ""), (5, ""), (6, "")]
     given = {r["id"]: r["blocks"] for r in alignments.collect()}
     assert all(r["blocks"] == given[r["id"]] for r in outer.collect())
+
+
+def test_projection_finds_exons_once_a_pair(many):
+    plan = transcripts.project_reads(*many, distinct=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(exons") == 1
