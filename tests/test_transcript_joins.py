@@ -91,3 +91,15 @@ def test_within_join_gives_blocks_back(spark, tag):
 def test_projection_finds_exons_once_a_pair(many):
     plan = transcripts.project_reads(*many, distinct=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(exons") == 1
+
+
+def test_few_transcripts_of_many_exons_are_not_broadcast(spark, tmp_path):
+    """300 transcripts of 1,000 exons: few rows, but 900,000 exons and more where each transcript stands in its bins."""
+    spark.range(300_000).write.parquet(f"{tmp_path}/e")
+    base = F.expr("id div 1000 * 100000 + id % 1000 * 100")
+    exons = spark.read.parquet(f"{tmp_path}/e").select(F.lit("c").alias("chr"), base.alias("start"), (base + 60).alias("end"), F.expr("id div 1000").alias("transcript"))
+    block = F.struct(base.alias("start"), (base + 50).alias("end"))
+    reads = spark.read.parquet(f"{tmp_path}/e").where("id % 100 = 7").select(F.col("id").alias("read_id"), F.lit("c").alias("chr"), F.array(block).alias("blocks"))
+    for of in (transcripts.concordance_reads, transcripts.project_reads):
+        found = no_broadcast(of(reads, exons, distinct=True))
+        assert found.count() == found.where("read_id div 1000 = transcript").count() == 3_000
